@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, curve_ann, html_text, license_scan, packing, simhash, token_counts
+from . import bpe_codec, curve_ann, gif, html_text, license_scan, packing, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return curve_ann.search(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
@@ -44,7 +48,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_simhash_near_dedup, op6_best_fit_packing, op8_curve_neighbours, op9_html_main_text, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op4_byte_bpe, op5_simhash_near_dedup, op6_best_fit_packing, op7_gif_media, op8_curve_neighbours, op9_html_main_text, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
