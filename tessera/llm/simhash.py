@@ -122,7 +122,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     labels = components(edges)
     placed = written(nodes.select("fp").join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label")))
     keyed = _keyed(placed)
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("key")
+    # a key of two fingerprints was settled by its least one
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low < _high and _n > 2").select("key")
     rest = keyed.join(mixed, "key", "left_semi")
     a, b = (rest.select("key", "bit", F.col("fp").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
     across = a.join(b.drop("bit"), (a.key == b.key) & (F.col("la") < F.col("lb")) & _near(F.col("a"), F.col("b"), distance) & _differ_here(F.col("a"), F.col("b"), F.col("bit")))
