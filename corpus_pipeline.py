@@ -1,11 +1,49 @@
-"""Corpus pipeline: language, toxicity, near-duplicates, packing."""
+"""Corpus pipeline: language identification, toxicity, near-duplicates, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again for the next one.
+All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import langid, packing, simhash, toxicity
+from tessera.llm.shared import written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told stay; those without letters or with a doubtful language go."""
+    return langid.known(docs)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that a network learned from the labelled ones among them takes for toxic go."""
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.clean(docs, net)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the least doc_id."""
+    return simhash.keep_one(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [("language ID", language_id), ("toxicity", toxicity_filter), ("SimHash near-dedup", near_dedup), ("best-fit packing", best_fit_packing)]
+
+#: SQL cannot express the network, the fingerprints or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn over the whole table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = written(docs)
     return docs
