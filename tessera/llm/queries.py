@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, curve_ann, gif, html_text, license_scan, packing, simhash, token_counts, toxicity
+from . import bpe_codec, curve_ann, gif, html_text, langid, license_scan, packing, simhash, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -53,7 +57,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_toxicity, op4_byte_bpe, op5_simhash_near_dedup, op6_best_fit_packing, op7_gif_media, op8_curve_neighbours, op9_html_main_text, op10_license_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_toxicity, op4_byte_bpe, op5_simhash_near_dedup, op6_best_fit_packing, op7_gif_media, op8_curve_neighbours, op9_html_main_text, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
