@@ -1 +1,10 @@
 """Tidy verbs over Spark DataFrames."""
+
+from .functions.helpers import col, desc, lit, sql
+from .operators.joins import closest
+from .operators.selectors import across, cols, exclude, everything, span
+from .session import session
+from .sources.io import connect, copy_to, db_table, drop_view, dt, jdbc, read, show_tables
+from .table import Tbl
+
+__all__ = ["Tbl", "across", "closest", "col", "cols", "connect", "copy_to", "db_table", "desc", "drop_view", "dt", "everything", "exclude", "jdbc", "lit", "read", "session", "show_tables", "span", "sql"]
