@@ -9,6 +9,8 @@ worker meets, because whole texts would need every word occurrence joined back t
 from __future__ import annotations
 
 import hashlib
+import json
+import zlib
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -19,6 +21,43 @@ from pyspark.sql import functions as F
 from .bytebpe import Chunks, Memo, merge, ranks, rows, words
 
 
+#: Buckets of the literal rank map; a look-up in Spark's map type scans it, so each bucket is a small map of its own.
+SLOTS = 16_384
+NONE = 1 << 30
+
+
+def rank_map(rank: dict[bytes, int]) -> str:
+    """SQL of the literal rank map: an array of maps from a token's hexadecimal bytes to its rank, by CRC-32."""
+    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    for token, r in rank.items():
+        key = token.hex().upper()
+        slots[zlib.crc32(key.encode()) % SLOTS][key] = r
+    return f"from_json('{json.dumps(slots, separators=(',', ':'))}', 'array<map<string,int>>')"
+
+
+def encode_words(df: DataFrame, word_col: str = "word", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Adds `ids` (array<int>) of each row's word, one match of the splitting pattern, by Spark's functions alone.
+
+    The word's bytes are a list of parts. A fold takes as many steps as there could be merges: each finds the pair of
+    least rank (the leftmost of equals), joins it, and looks up the two pairs beside it again. A null word gives
+    null ids, an empty one none. Meant for tables of distinct words."""
+    look = lambda k: f"coalesce(try_element_at(get(tab, cast(crc32(encode({k}, 'UTF-8')) % {SLOTS} as int)), {k}), {NONE})"
+    pair = lambda a, b: f"if({a} is null or {b} is null, {NONE}, {look(f'concat({a}, {b})')})"
+    kind = "struct<p:array<string>,r:array<int>>"
+    begin = f"cast(named_struct('p', parts, 'r', transform(slice(parts, 1, greatest(size(parts) - 1, 0)), (x, i) -> {pair('x', 'get(parts, i + 1)')})) as {kind})"
+    # i: place of the pair from 1; the ranks beside it are those of (i - 1, new) and (new, i + 2)
+    new = "concat(get(s.p, i - 1), get(s.p, i))"
+    ranks_ = f"concat(slice(s.r, 1, greatest(i - 2, 0)), if(i > 1, array({pair('get(s.p, i - 2)', 'new')}), array()), if(i < size(s.r), array({pair('new', 'get(s.p, i + 1)')}), array()), slice(s.r, i + 2, greatest(size(s.r) - i - 1, 0)))"
+    parts_ = "concat(slice(s.p, 1, i - 1), array(new), slice(s.p, i + 2, greatest(size(s.p) - i - 1, 0)))"
+    joined = f"transform(array({new}), new -> cast(named_struct('p', {parts_}, 'r', {ranks_}) as {kind}))[0]"
+    step = f"if(coalesce(array_min(s.r), {NONE}) = {NONE}, s, transform(array(cast(array_position(s.r, array_min(s.r)) as int)), i -> {joined})[0])"
+    fold = f"aggregate(slice(parts, 1, greatest(size(parts) - 1, 0)), {begin}, (s, x) -> {step}, s -> transform(s.p, t -> {look('t')}))"
+    word = f"`{word_col}`"
+    bytes_ = f"regexp_extract_all(hex(encode({word}, 'UTF-8')), '..', 0)"
+    ids = f"transform(array({rank_map(ranks(public_tokenizers.path(vocab)))}), tab -> transform(array({bytes_}), parts -> {fold})[0])[0]"
+    return df.withColumn("ids", F.expr(f"if({word} is null, null, {ids})"))
+
+
 class Codec:
     """Encoding and decoding under one vocabulary; words already met are remembered within bounds."""
 

@@ -140,3 +140,12 @@ def test_many_pieces_of_one_length_are_numbered_in_groups(spark, monkeypatch):
 def test_queries_on_the_smallest_tables(spark, sf):
     assert queries.op1_token_counts(spark, sf).count() == queries.op4_byte_bpe(spark, sf).count() == 200
     assert queries.op6_best_fit_packing(spark, sf).select("doc_id").distinct().count() == 200
+
+
+def test_native_fold_over_distinct_words(spark, tik):
+    r = random.Random(8)
+    words = sorted({w for s in made(9, 80) for w in token_counts.WORDS.findall(s)} | {"".join(r.choice("eintors") for _ in range(n)) for n in (1, 2, 9, 30)})
+    df = spark.createDataFrame([(w,) for w in [*words, "", None]], "word string")
+    got = {x.word: x.ids for x in bpe_codec.encode_words(df).collect()}
+    assert got.pop(None) is None and got.pop("") == []
+    assert got == {w: tik.encode_ordinary(w) for w in words}
