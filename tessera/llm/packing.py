@@ -23,7 +23,7 @@ from .shared import written
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that are numbered together in one group; longer classes are dealt over several groups.
-GROUP = 50_000
+GROUP = 500
 
 
 class Ids:
