@@ -7,10 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expr import Col, Expr, Op, quoted
 
 KEY = re.compile(r"^\s*([\w.]+)\s*(==|=|<=|>=|<|>|!=)\s*([\w.]+)\s*$")
+#: Pieces into which an as-of join cuts the range of its key where one group of equal keys may hold most rows.
+PIECES = 64
 HOW = {"left": "left", "right": "right", "inner": "inner", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
 
@@ -65,10 +68,11 @@ def joined(left: DataFrame, right: DataFrame, how: str, keys: list[Key], hint: s
 
     Equality keys come first, coalesced, under their left names; then the other left columns; then the right columns
     but for equality keys, renamed name_1, name_2, … where the left has the name. Semi and anti joins keep the left
-    columns as they are. Null keys match nothing."""
+    columns as they are. Null keys match nothing. hint: 'broadcast', 'merge', 'shuffle_hash', or for an as-of join 'skew',
+    which deals a hot key over several tasks; an as-of join without equal keys always is."""
     mapped = {c: f"__r{i}" for i, c in enumerate(right.columns)}
     r = right.toDF(*mapped.values())
-    if hint:
+    if hint and hint != "skew":
         r = r.hint(hint)
     near = [k for k in keys if k.closest]
     if len(near) > 1:
@@ -78,7 +82,10 @@ def joined(left: DataFrame, right: DataFrame, how: str, keys: list[Key], hint: s
     if near:
         if theta:
             raise ValueError("an as-of join has one inequality, in closest()")
-        out = asof(left, r, [(k.left, mapped[k.right]) for k in equal], near[0].left, near[0].op, mapped[near[0].right], how)
+        b = mapped[near[0].right]
+        dealt = hint == "skew" or not equal
+        ordered = isinstance(r.schema[b].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        out = asof(left, r, [(k.left, mapped[k.right]) for k in equal], near[0].left, near[0].op, b, how, PIECES if dealt and ordered else 1)
     elif keys:
         on = None
         for k in keys:
@@ -105,12 +112,26 @@ def _q(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def asof(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], a: str, op: str, b: str, how: str) -> DataFrame:
+def _bounds(right: DataFrame, b: str, pieces: int) -> list[float]:
+    """Keys that deal the right rows into pieces of about one size; one pass over the key column, a row to the driver."""
+    shares = [i / pieces for i in range(1, pieces)]
+    got = right.agg(F.percentile_approx(_number(F.col(b), right.schema[b].dataType), shares, 10_000)).first()[0]
+    return sorted(set(got or []))
+
+
+def _number(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.TimestampNTZType):
+        c = c.cast("timestamp")
+    return F.unix_micros(c.cast("timestamp")).cast("double") if isinstance(kind, (T.DatetimeType, T.TimestampNTZType)) else c.cast("double")
+
+
+def asof(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], a: str, op: str, b: str, how: str, pieces: int = 1) -> DataFrame:
     """Each left row with the right row of the nearest key on the side that `op` allows, among equal other keys.
 
     Both sides are laid in one table, ordered by the key, and every left row takes the last right row before it:
-    one shuffle by the other keys and one pass, without a join. Right rows that lack a key are set aside first. Without
-    equal keys all rows stand in one window, so give some where the tables are large. Right keys should be unique: among ties the pick is arbitrary."""
+    one shuffle by the other keys and one pass, without a join. Right rows that lack a key are set aside first. With
+    pieces > 1 the key's range is cut too, so that rows of one hot key are dealt over so many tasks: the last right
+    row of each piece is carried over to the later ones. Right keys should be unique: among ties the pick is arbitrary."""
     names, right_names = left.columns, right.columns
     down = op in ("<", "<=")
     strict = op in ("<", ">")
@@ -127,12 +148,29 @@ def asof(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], a: str
     other = usable.select(F.lit(None).cast(own.schema["__l"].dataType).alias("__l"), F.struct(*kept).alias("__r"), *[F.col(r).alias(g) for g, (_, r) in zip(groups, equal)], F.col(b).cast(kind).alias("__k"), F.lit(side).alias("__side"))
     both = own.unionByName(other)
     key = F.col("__k").desc_nulls_first() if down else F.col("__k").asc_nulls_first()
-    order = Window.partitionBy(*groups).orderBy(key, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    match = F.last("__r", ignorenulls=True).over(order)
+    before = (Window.unboundedPreceding, 0)
+    if pieces > 1:
+        bounds = F.array(*map(F.lit, _bounds(usable.select(F.col(b).cast(kind).alias(b)), b, pieces) or [0.0]))
+        number = _number(F.col("__k"), kind)
+        both = both.withColumn("__p", F.size(F.filter(bounds, lambda x: x <= number)))
+        found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(Window.partitionBy(*groups, "__p").orderBy(key, "__side").rowsBetween(*before)))
+        edge = F.when(F.col("__r").isNotNull(), F.col("__k"))
+        last = both.groupBy(*groups, "__p").agg((F.min_by if down else F.max_by)("__r", edge).alias("__last"))
+        step = F.col("__p").desc() if down else F.col("__p").asc()
+        carried = last.withColumn("__carry", F.last("__last", ignorenulls=True).over(Window.partitionBy(*groups).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)))
+        carried = carried.select(*[F.col(c).alias(f"{c}c") for c in [*groups, "__p"]], "__carry")
+        on = F.col("__p") == F.col("__pc")
+        for g in groups:
+            on = on & (F.col(g) == F.col(f"{g}c"))
+        found = found.filter(F.col("__side") == 0).join(carried, on, "left")
+        match = F.coalesce("__m", "__carry")
+    else:
+        found = both.withColumn("__m", F.last("__r", ignorenulls=True).over(Window.partitionBy(*groups).orderBy(key, "__side").rowsBetween(*before))).filter(F.col("__side") == 0)
+        match = F.col("__m")
     whole = F.col("__k").isNotNull()
     for g in groups:
         whole = whole & F.col(g).isNotNull()
-    found = both.withColumn("__m", F.when(whole, match)).filter(F.col("__side") == 0)
+    found = found.withColumn("__m", F.when(whole, match))
     if how == "semi":
         return found.filter(F.col("__m").isNotNull()).select("__l.*")
     if how == "anti":

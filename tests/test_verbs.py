@@ -228,9 +228,10 @@ def test_duplicate_names_self_joins_and_qualified_columns(spark, doc):
     assert none.inner_join(none, "k").df_now().count() == 0
 
 
+@pytest.mark.parametrize("hint", [None, "skew"])
 @pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
 @pytest.mark.parametrize("how", ["left", "inner", "right", "full", "semi", "anti"])
-def test_asof_matches_brute_force(spark, op, how):
+def test_asof_matches_brute_force(spark, op, how, hint):
     r = random.Random(7)
     left = [(i, r.choice([1, 2, None]), r.choice([*range(0, 40, 3), None])) for i in range(40)]
     right = [(100 + i, g, k) for i, (g, k) in enumerate({(r.choice([1, 2, None]), r.choice([*range(0, 40, 2), None])) for _ in range(30)})]
@@ -247,10 +248,17 @@ def test_asof_matches_brute_force(spark, op, how):
     if how in ("right", "full"):
         want += [(g, None, None, j, k) for j, g, k in right if j not in used]
     a, b = make(spark, left, "i int, g int, k int"), make(spark, right, "j int, g int, q int")
-    got = getattr(a, f"{how}_join")(b, "g", f"closest(k {op} q)")
+    got = getattr(a, f"{how}_join")(b, "g", f"closest(k {op} q)", hint=hint)
     assert srows(got) == sorted(want, key=repr)
 
 
+def test_asof_without_equal_keys(spark):
+    a = make(spark, [(i, i * 3 % 50) for i in range(40)], "i int, k int")
+    b = make(spark, [(i, i * 7) for i in range(1, 6)], "j int, q int").mutate(q=f.sql("timestamp_ntz '2024-01-01' + make_dt_interval(q)"))
+    got = a.mutate(k=f.sql("timestamp_ntz '2024-01-01' + make_dt_interval(k)")).left_join(b, closest("k >= q"))
+    assert dict(rows(got.select("i", "j"))) == {i: min(5, i * 3 % 50 // 7) or None for i in range(40)}
+
+
 def test_asof_needs_one_inequality(doc, score):
     with pytest.raises(ValueError):
         closest("value != score")
