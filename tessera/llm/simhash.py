@@ -66,8 +66,9 @@ def text_key(text_col: str) -> Column:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Each row of df (fp and more) once for each of its 64 keys, with `bit`, the place left out, and whether that
-    place is its segment's first."""
+    """Each row of df (fp and more) once for each of its 64 keys, with `bit`, the place left out. The rows are dealt
+    anew first: there are few bytes of them, but 64 times as many follow."""
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = []
     for first, width in SEGMENTS:
         segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
