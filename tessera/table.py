@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import options
 from .functions import helpers
 from .functions.expr import Col, Context, Expr, keys, quoted, stated
 from .operators import joins, reshape, windows
@@ -135,6 +137,8 @@ class Tbl:
     def _windowed(self, args, named, by, order, frame, keep: bool, verb: str) -> Tbl:
         exprs = self._exprs(args, named)
         groups = self._by(by)
+        if options.warn and (self.groups or self.worder or self.wframe):
+            warnings.warn(f"{verb} consumes the groups, window order and frame set before", stacklevel=3)
         order = self.worder if order is None else order if isinstance(order, (list, tuple)) else (order,)
         frame = self.wframe if frame is None else windows.frame_of(frame)
         ctx = self._ctx("window", groups, order, frame)
@@ -211,13 +215,15 @@ class Tbl:
     # groups
 
     def group_by(self, *selection, **named) -> Tbl:
-        """Groups for the next summarize, mutate or slice; new ones by expression. Collected as it is, the distinct groups."""
+        """Groups for the next summarize, mutate or slice; new ones by expression. Collected as it is, the distinct groups.
+        'all' groups the next summarize by every expression without an aggregate."""
         df = self.df
-        plain = [x for x in selection]
+        if selection == ("all",) and "all" not in df.columns:
+            return self._next("group_by", groups=("all",))
         if named:
             ctx = self._ctx()
             df = df.withColumns({k: stated(e).column(ctx) for k, e in named.items()})
-        picked = tuple(resolve(plain, self.df.columns, self._name)) if plain else ()
+        picked = tuple(self._pick(selection)) if selection else ()
         return self._next("group_by", df, groups=(*picked, *named), grouped_only=True)
 
     def ungroup(self) -> Tbl:

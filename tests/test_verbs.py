@@ -192,6 +192,20 @@ def test_summarize(doc):
         doc.filter(f.sum("value") > 1)
 
 
+def test_group_by_all_and_warnings(doc):
+    import tessera
+
+    t = doc.group_by("all").summarize(g=col("groups"), big=col("value") > 3, n=f.n())
+    assert t.columns == ["g", "big", "n"] and srows(t) == [("aa", False, 3), ("aa", True, 2), ("bb", False, 3), ("bb", True, 2)]
+    assert srows(t) == srows(doc.summarize(g=col("groups"), big=col("value") > 3, n=f.n(), _by="all"))
+    tessera.warnings(True)
+    try:
+        with pytest.warns(UserWarning, match="consumes"):
+            doc.group_by("groups").mutate(n=f.n())
+    finally:
+        tessera.warnings(False)
+
+
 def test_bias_corrected_moments(spark):
     x = [1.0, 2.0, 2.5, 7.0, 11.0]
     k, s, few = rows(make(spark, [(v,) for v in x], "x double").summarize(k=f.kurtosis("x"), s=f.skewness("x"), few=f.n()))[0]
