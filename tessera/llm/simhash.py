@@ -66,28 +66,26 @@ def text_key(text_col: str) -> Column:
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    """Each row of df (fp and more) once for each of its 64 keys, with `bit`, the place left out. The rows are dealt
-    anew first: there are few bytes of them, but 64 times as many follow."""
+    """Each row of df (fp and more) once for each of its 64 keys, with `half`: the value of the bit left out, or null
+    where that bit is its segment's first. Two fingerprints are compared under the bit in which the segment differs,
+    so with unlike halves, or under its first bit if the segment is equal; elsewhere they need not be.
+
+    The rows are dealt anew first: there are few bytes of them, but 64 times as many follow."""
     df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     keys = []
     for first, width in SEGMENTS:
         segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
         for at in range(width):
-            keys.append(segment.bitwiseAND(F.lit(~(1 << at) & ((1 << width) - 1))).bitwiseOR(F.lit((first + at) << 24)))
-    out = df.select("*", F.explode(F.array(*keys)).alias("key"))
-    return out.withColumn("bit", F.shiftright("key", 24).cast("int"))
+            key = segment.bitwiseAND(F.lit(~(1 << at) & ((1 << width) - 1))).bitwiseOR(F.lit((first + at) << 24))
+            half = F.shiftrightunsigned("fp", first + at).bitwiseAND(F.lit(1)).cast("int") if at else F.lit(None).cast("int")
+            keys.append(F.struct(key.alias("key"), half.alias("half")))
+    return df.select("*", F.explode(F.array(*keys)).alias("_k")).select(*df.columns, "_k.key", "_k.half")
 
 
 def _near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
-def _differ_here(a: Column, b: Column, bit: Column) -> Column:
-    """Each link is taken where the place left out is the one that differs, or the first of an equal segment."""
-    first = bit.isin([s for s, _ in SEGMENTS])
-    return first | (F.call_function("shiftrightunsigned", a.bitwiseXOR(b), bit).bitwiseAND(F.lit(1)) == 1)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of its component, for every node of the edges (a, b).
 
@@ -117,17 +115,20 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     All edges are real links; inside a dense group not every link is listed."""
     keyed = _keyed(nodes.select("fp"))
-    hubs = keyed.groupBy("key").agg(F.min("fp").alias("hub"), F.max("fp").alias("_top")).filter("hub < _top").select("key", "hub")
-    stars = keyed.join(hubs, (keyed.key == hubs.key) & (F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance) & _differ_here(F.col("fp"), F.col("hub"), F.col("bit")))
+    # the least fingerprint under a key, or of those whose bit is 0
+    hubs = keyed.groupBy("key").agg(F.min(F.when(F.coalesce("half", F.lit(0)) == 0, F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and hub is not null").select("key", "hub")
+    stars = keyed.join(hubs, (keyed.key == hubs.key) & (F.coalesce("half", F.lit(1)) == 1) & (F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance))
     edges = written(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     labels = components(edges)
     placed = written(nodes.select("fp").join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label")))
     keyed = _keyed(placed)
-    # a key of two fingerprints was settled by its least one
-    mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low < _high and _n > 2").select("key")
+    # keys of two fingerprints are settled, and so are those of one component or one half
+    mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("half").alias("_a"), F.max("half").alias("_b"))
+    mixed = mixed.filter("_low < _high and _n > 2 and (_a is null or _a < _b)").select("key")
     rest = keyed.join(mixed, "key", "left_semi")
-    a, b = (rest.select("key", "bit", F.col("fp").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
-    across = a.join(b.drop("bit"), (a.key == b.key) & (F.col("la") < F.col("lb")) & _near(F.col("a"), F.col("b"), distance) & _differ_here(F.col("a"), F.col("b"), F.col("bit")))
+    a, b = (rest.select("key", F.col("half").alias(f"h{n}"), F.col("fp").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+    apart = F.when(F.col("ha").isNull(), F.col("la") < F.col("lb")).otherwise((F.col("ha") < F.col("hb")) & (F.col("la") != F.col("lb")))
+    across = a.join(b, (a.key == b.key) & apart & _near(F.col("a"), F.col("b"), distance))
     return edges.union(across.select("a", "b"))
 
 
