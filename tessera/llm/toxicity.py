@@ -318,7 +318,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0, epochs: int = 6, s
                 m += 0.1 * (g[name] - m)
                 s += 0.001 * (g[name] ** 2 - s)
                 v -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-    net.slope, net.offset = _calibrated(np.maximum.reduceat(data.logits(net), data.first).astype(np.float64), y)
+    net.slope, net.offset = _calibrated(np.maximum.reduceat(data.logits(net), data.first).astype(np.float64)[trusted], y[trusted])
     return net
 
 
