@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -653,14 +654,13 @@ def view_roundtrip(t, s):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def table_roundtrip(t, s):
-    t("nation").select("n_nationkey", "n_name").create_table("tessera_nation", replace=True)
-    return dt(s, "tessera_nation")
+    name = f"tessera_nation_{uuid4().hex}"
+    t("nation").select("n_nationkey", "n_name").create_table(name)
+    return dt(s, name)
 
 
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def write_read_roundtrip(t, s):
-    from uuid import uuid4
-
     path = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-{uuid4().hex}.csv"
     t("supplier").select("s_suppkey", "s_name", "s_acctbal").write_file(path)
     return dt(s, path)
