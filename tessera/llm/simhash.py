@@ -71,7 +71,8 @@ def _keyed(df: DataFrame) -> DataFrame:
     so with unlike halves, or under its first bit if the segment is equal; elsewhere they need not be.
 
     The rows are dealt anew first: there are few bytes of them, but 64 times as many follow."""
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # by a hash of fp: dealt by fp itself, a shuffle by fp just before would be taken for it, and made into few tasks
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
     keys = []
     for first, width in SEGMENTS:
         segment = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << width) - 1))
