@@ -155,8 +155,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     It is the row of least id; of rows equal in id and text one stays. Rows without an id all stay."""
     found = cluster(df, id_col, text_col)
-    stay = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.min("text_key").alias("_text"))
-    kept = df.join(stay, (F.col(id_col) == F.col("_id")) & text_key(text_col).eqNullSafe(F.col("_text")))
-    order = Window.partitionBy("_id").orderBy(F.lit(1))
-    kept = kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*df.columns)
+    stay = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__tessera_id")).agg(F.min("text_key").alias("__tessera_text"))
+    kept = df.join(stay, (F.col(id_col) == F.col("__tessera_id")) & text_key(text_col).eqNullSafe(F.col("__tessera_text")))
+    order = Window.partitionBy("__tessera_id").orderBy(F.lit(1))
+    kept = kept.withColumn("__tessera_n", F.row_number().over(order)).filter("__tessera_n = 1").select(*df.columns)
     return kept.union(df.filter(F.col(id_col).isNull()))

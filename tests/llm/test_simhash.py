@@ -79,7 +79,7 @@ def test_query_matches_brute_force(spark, sf):
 def test_odd_rows_and_keeping_one(spark):
     long = " ".join(f"w{i}" for i in range(400))
     data = [(5, long), (3, long), (3, long), (9, None), (8, ""), (7, " \t"), (1, "alone in the world here"), (2, long + " x"), (None, "other words stand in this row")]
-    df = spark.createDataFrame([(i, t, "a", 1) for i, t in data], "doc_id long, text string, fingerprint string, key int")
+    df = spark.createDataFrame([(i, t, "a", 1) for i, t in data], "doc_id long, text string, _id string, _n int")
     rows = simhash.cluster(df).collect()
     assert len(rows) == len(data)
     assert {r.component_id for r in rows if r.fingerprint == "0" * 16} == {7}
