@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import Chunks, Memo, merge, ranks, rows, words
+from .shared import resident
 
 
 #: Buckets of the literal rank map; a look-up in Spark's map type scans it, so each bucket is a small map of its own.
@@ -86,14 +87,9 @@ class Codec:
         return joined.count(" ") + 1, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    """One for each worker process."""
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    """One for each worker process, so that its memos last from task to task."""
+    return resident(("codec", path), lambda: Codec(path))
 
 
 def _mapped(df: DataFrame, id_col: str, text_col: str, step: int, make, names: list[str], types: str, vocab: str) -> DataFrame:

@@ -67,7 +67,7 @@ class Model:
     log: np.ndarray  # BUCKETS x languages
 
     def __post_init__(self):
-        self._word = Memo(lambda w: self.log[_trigrams(w)].sum(axis=0), 100_000)
+        self._word = Memo(lambda w: self.log[_trigrams(w)].sum(axis=0), 30_000)
 
     def __reduce__(self):
         return Model, (self.languages, self.log)

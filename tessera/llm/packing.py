@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytebpe import SPECIAL, SPECIAL_ID, Chunks, packed, rows, rust
-from .shared import written
+from .shared import resident, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -29,7 +29,7 @@ GROUP = 500
 class Ids:
     """Ids of whole texts as packed 32-bit integers; the special token's string gives its id, as by default."""
 
-    def __init__(self, path: str, memo: int = 150_000):
+    def __init__(self, path: str, memo: int = 80_000):
         encode = rust(path).encode_ordinary
         self._chunks = Chunks(lambda chunk: packed(encode(chunk)), memo)
 
@@ -39,13 +39,9 @@ class Ids:
         return b"".join(self._chunks.values(text)) if text else b""
 
 
-_IDS: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
-    if path not in _IDS:
-        _IDS[path] = Ids(path)
-    return _IDS[path]
+    """One for each worker process."""
+    return resident(("ids", path), lambda: Ids(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

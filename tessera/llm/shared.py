@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_RESIDENT: dict = {}
+
+
+def resident(key, make: Callable):
+    """An object that a worker process keeps from task to task. It keeps one only: another key's takes its place, so
+    the stages of a pipeline do not add up their memos in the workers that they share."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]
 
 
 def shared_dir(spark: SparkSession) -> str:

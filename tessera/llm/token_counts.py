@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import SPECIAL, WORDS, Chunks, Memo, merge, ranks, rows, words
+from .shared import resident
 
 #: The contractions of the splitting pattern that have two letters.
 CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -106,14 +107,9 @@ class PrefixCounts:
         return max(i for i, n in enumerate(counts) if n <= limit)
 
 
-_COUNTERS: dict[str, PrefixCounts] = {}
-
-
 def counter(path: str) -> PrefixCounts:
     """One for each worker process, so that its memos last from task to task."""
-    if path not in _COUNTERS:
-        _COUNTERS[path] = PrefixCounts(path)
-    return _COUNTERS[path]
+    return resident(("counter", path), lambda: PrefixCounts(path))
 
 
 def count_tokens(df: DataFrame, limit: int = 512, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import resident
+
 WINDOW = 64
 STRIDE = 48
 HIDDEN = 8
@@ -32,7 +34,7 @@ SAMPLE = 1200
 #: A training text whose label the net contradicts by so many logits is left out, until it does so no more.
 DOUBT = 1.0
 #: Rows of the table of word inputs that a worker keeps.
-KEPT = 200_000
+KEPT = 60_000
 
 WORD = re.compile(r"\w+")
 
@@ -199,9 +201,9 @@ class Scorer:
             counts.append(len(at))
         rows = np.concatenate(windows)
         out = np.empty(len(rows), np.float32)
-        for i in range(0, len(rows), 1024):
-            part = rows[i : i + 1024].T
-            out[i : i + 1024] = self.net.forward(self.table[part], _mask(part))
+        for i in range(0, len(rows), 512):
+            part = rows[i : i + 512].T
+            out[i : i + 512] = self.net.forward(self.table[part], _mask(part))
         counts = np.array(counts)
         return np.maximum.reduceat(out, np.cumsum(counts) - counts)
 
@@ -348,14 +350,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return train([t for _, t, _ in rows], [min(1, max(0, k)) for _, _, k in rows])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
 def _scorer(key: int, net: Net) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(net)
-    return _SCORERS[key]
+    """One for each worker process."""
+    return resident(("scorer", key), lambda: Scorer(net))
 
 
 def _key(net: Net) -> int:
