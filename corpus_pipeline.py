@@ -12,24 +12,34 @@ from tessera.llm import langid, packing, simhash, toxicity
 from tessera.llm.shared import written
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole rows go to Python and back in batches of few texts: a batch's buffers stand outside the executor's heap,
+    and with the usual 10,000 rows they come to hundreds of MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told stay; those without letters or with a doubtful language go."""
+    small_batches(spark)
     return langid.known(docs)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a network learned from the labelled ones among them takes for toxic go."""
+    small_batches(spark)
     net = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean(docs, net)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the least doc_id."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
