@@ -32,6 +32,8 @@ TEMPER = 0.3
 WRONG = {"declared": 0.08, "segment": 0.12, "domain": 0.35}
 #: Pseudo-counts with which a wider level enters a narrower one.
 SMOOTH = 10.0
+#: Hosts whose priors are broadcast: a host and one number a language each, a few MB in all.
+HOSTS = 20_000
 #: Least posterior of an accepted row.
 ACCEPT = 0.5
 
@@ -159,9 +161,11 @@ def priors(rows: DataFrame, languages: list[str], smooth: float = SMOOTH) -> tup
 
 def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     """Adds lang, posterior and accepted to evidence rows; drops logs. lang is null and accepted false where the text
-    has no letters. A host shared by very many rows is joined to its one prior row, which AQE splits."""
+    has no letters. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
     by_host, broad = priors(rows, languages)
-    out = rows.join(by_host, "host", "left")
+    by_host = written(by_host)
+    small = by_host.count() <= HOSTS  # else the join is a shuffle, which AQE splits where a host is hot
+    out = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
     total = F.zip_with("logs", F.coalesce("prior", F.array(*map(F.lit, broad))), lambda a, b: a + b)
     out = out.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
     mass = F.aggregate(F.transform("_sum", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
