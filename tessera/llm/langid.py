@@ -5,6 +5,9 @@ aggregation over a bounded sample of rows with a declared language. To its log a
 markup language and of the address (top-level domain, language segment of the path), each under a fixed rate of
 error, and of the host's prior. Host priors are counts of what pages look like, smoothed from the whole corpus to
 the registered domain to the host, and are joined to small evidence rows, not to texts.
+
+Beside the learned languages stands a class of other text, under which every bucket is equally likely. That is what
+a language's smoothed counts say before any text is seen, so what resembles none of the languages falls to it.
 """
 
 from __future__ import annotations
@@ -36,6 +39,8 @@ SMOOTH = 10.0
 HOSTS = 20_000
 #: Least posterior of an accepted row.
 ACCEPT = 0.5
+#: Name of the class of other text; no language tag is empty.
+OTHER = ""
 
 #: Languages of top-level domains.
 DOMAINS = {"de": "de", "at": "de", "li": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv", "dk": "da", "fi": "fi", "no": "no", "cz": "cs", "tr": "tr", "gr": "el", "kr": "ko", "hu": "hu", "ro": "ro"}
@@ -69,16 +74,21 @@ class Model:
     log: np.ndarray  # BUCKETS x languages
 
     def __post_init__(self):
-        self._word = Memo(lambda w: self.log[_trigrams(w)].sum(axis=0), 30_000)
+        log = np.hstack([self.log, np.full((BUCKETS, 1), -np.log(BUCKETS))])
+        self._word = Memo(lambda w: log[_trigrams(w)].sum(axis=0), 30_000)
 
     def __reduce__(self):
         return Model, (self.languages, self.log)
 
     def text(self, text: str) -> np.ndarray:
-        """Tempered log likelihoods of the words, all zero for a text without letters."""
+        """Tempered log likelihoods of the words in each language, all zero for a text without letters."""
+        return self.classes(text)[:-1]
+
+    def classes(self, text: str) -> np.ndarray:
+        """The same, and that of other text at the end."""
         words = Counter(WORD.findall(text.lower()))
         if not words:
-            return np.zeros(len(self.languages))
+            return np.zeros(len(self.languages) + 1)
         rows = np.array([self._word[w] for w in words])
         return TEMPER * (np.array(list(words.values())) @ rows)
 
@@ -113,9 +123,10 @@ def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: i
 
 
 def evidence(df: DataFrame, model: Model, text: str, declared: Column, url: Column, host: Column, keep: list[str], markup: bool = False) -> DataFrame:
-    """The columns of `keep`, host, domain, `logs` (one log likelihood for each language), `likely` (the language of
-    the greatest, null without any evidence) and `letters` (whether the text has any). A narrow pass."""
+    """The columns of `keep`, host, domain, `logs` (one log likelihood for each language and for other text), `likely`
+    (the class of the greatest, null without any evidence) and `letters` (whether the text has any). A narrow pass."""
     languages = model.languages
+    classes = [*languages, OTHER]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = {x: i for i, x in enumerate(languages)}
@@ -125,13 +136,13 @@ def evidence(df: DataFrame, model: Model, text: str, declared: Column, url: Colu
                 part = batch.slice(i, 128)
                 logs, likely, letters = [], [], []
                 for t, d, s, top in zip(*(part.column(k).to_pylist() for k in range(4))):
-                    own = model.text(MARKUP.sub(" ", t) if markup else t) if t and languages else np.zeros(len(languages))
+                    own = model.classes(MARKUP.sub(" ", t) if markup else t) if t else np.zeros(len(classes))
                     letters.append(bool(np.any(own)))
                     for value, kind in ((d, "declared"), (s, "segment"), (DOMAINS.get(top), "domain")):
                         if value in index:
                             own[index[value]] += step[kind]
                     logs.append(own)
-                    likely.append(languages[int(np.argmax(own))] if np.any(own) else None)
+                    likely.append(classes[int(np.argmax(own))] if np.any(own) else None)
                 yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(logs, pa.list_(pa.float64())), pa.array(likely, pa.string()), pa.array(letters, pa.bool_())], [*part.schema.names[4:], "logs", "likely", "letters"])
 
     segment = F.lower(F.regexp_extract(url, r"^[^?#]*?//[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
@@ -160,18 +171,18 @@ def priors(rows: DataFrame, languages: list[str], smooth: float = SMOOTH) -> tup
 
 
 def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
-    """Adds lang, posterior and accepted to evidence rows; drops logs. lang is null and accepted false where the text
-    has no letters. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
-    by_host, broad = priors(rows, languages)
+    """Adds lang, posterior and accepted to evidence rows; drops logs. lang is null, posterior 0 and accepted false
+    where the text has no letters or is likelier other text than any language. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
+    by_host, broad = priors(rows, [*languages, OTHER])
     by_host = written(by_host)
     small = by_host.count() <= HOSTS  # else the join is a shuffle, which AQE splits where a host is hot
     out = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
     total = F.zip_with("logs", F.coalesce("prior", F.array(*map(F.lit, broad))), lambda a, b: a + b)
     out = out.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
     mass = F.aggregate(F.transform("_sum", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
-    best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("_sum", F.col("_top")).cast("int"))
-    out = out.withColumn("posterior", F.when(F.col("letters"), 1 / mass).otherwise(F.lit(0.0)))
-    out = out.withColumn("lang", F.when(F.col("letters"), best)).withColumn("accepted", F.col("posterior") >= ACCEPT)
+    best = F.element_at(F.array(*[F.lit(x or None) for x in [*languages, OTHER]]), F.array_position("_sum", F.col("_top")).cast("int"))
+    out = out.withColumn("lang", F.when(F.col("letters"), best))
+    out = out.withColumn("posterior", F.when(F.col("lang").isNotNull(), 1 / mass).otherwise(F.lit(0.0))).withColumn("accepted", F.col("posterior") >= ACCEPT)
     return out.drop("_sum", "_top", "prior", "logs")
 
 
@@ -183,7 +194,8 @@ def _unknown(df: DataFrame, keep: list[str]) -> DataFrame:
 def identify_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, lang, posterior, accepted.
 
-    A null or wordless page is rejected with a null lang and posterior 0; a null address has no address evidence and
+    A null or wordless page, and one that resembles no learned language, is rejected with a null lang and posterior 0;
+    a null address has no address evidence and
     the whole table's prior; repeated rows stay repeated; other columns are not read. A table in which no page
     declares a language is rejected as a whole; an empty one gives an empty result."""
     page = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -200,7 +212,7 @@ def known(df: DataFrame, text_col: str = "text", declared_col: str = "lang", hos
     """The rows of df, with all its columns, whose language is told with a posterior of at least ACCEPT.
 
     The declared language is a column and the source stands for the host; there is no address. Rows without letters
-    go; a null source has the whole table's prior. The rows are written once with their evidence, so each text is
+    and those that resemble no learned language go; a null source has the whole table's prior. The rows are written once with their evidence, so each text is
     scored once; then only the small table of priors is joined to them."""
     names = df.columns
     own = df.toDF(*[f"_k{i}" for i in range(len(names))])

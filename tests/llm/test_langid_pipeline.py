@@ -58,6 +58,23 @@ def test_held_out_accuracy_of_the_text_model(spark):
     assert sum(right) >= 0.95 * len(right)
 
 
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "xkqz wvbn trpl zzgk qwrt plmk vbnx hjkl dfgz sdfk wqzx mnbv rtpk lkjh gfds qzxw cvbn hgfd",
+]
+
+
+def test_foreign_and_random_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = docs.select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(-1 - i, (t + " ") * n, tag, None) for i, (t, n, tag) in enumerate((t, n, tag) for t in FOREIGN for n in (1, 5) for tag in (None, "de"))], own.schema)
+    kept = {r.doc_id for r in langid.known(own.union(odd)).select("doc_id").collect()}
+    assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
 def test_pages_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op2_language_id(spark, sf).collect()
