@@ -27,8 +27,10 @@ from .bytebpe import Memo
 from .shared import written
 
 BUCKETS = 1 << 14
-#: Rows that the trigram counts are learned from, at most about so many.
-SAMPLE = 3000
+#: Rows of each declared language that the trigram counts are learned from, at most about so many.
+SAMPLE = 750
+#: Texts with letters that must declare a language for it to be learned.
+LEAST = 3
 #: Weight of a text's log likelihood: neighbouring trigrams tell much the same.
 TEMPER = 0.3
 #: Rates at which a declaration, a path segment and a top-level domain name another language than the text's.
@@ -94,11 +96,11 @@ class Model:
 
 
 def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: int = SAMPLE) -> Model:
-    """A model from about `sample` rows with a declared language, chosen by a hash of the text. At least three rows
-    must declare a language for it to be known. What reaches the driver is bounded by languages x BUCKETS counts."""
+    """A model from about `sample` rows of each declared language, chosen by a hash of the text; all rows of a
+    language that has no more. At least LEAST texts with letters must declare a language for it to be learned. What
+    reaches the driver is bounded by languages x BUCKETS counts."""
     rows = df.select(F.col(text).alias("text"), tag(F.col(declared)).alias("lang")).filter("lang is not null and text is not null")
-    n = rows.count()
-    rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(n, 1))))
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect() if r[1] >= LEAST}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -106,51 +108,69 @@ def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: i
         for batch in batches:
             for t, lang in zip(*(c.to_pylist() for c in batch.columns)):
                 own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                texts[lang] += 1
-                for w, k in Counter(WORD.findall((MARKUP.sub(" ", t) if markup else t).lower())).items():
+                words = Counter(WORD.findall((MARKUP.sub(" ", t) if markup else t).lower()))
+                texts[lang] += bool(words)
+                for w, k in words.items():
                     np.add.at(own, _trigrams(w), k)
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(own[at], texts[lang]), pa.int64())], ["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
-    languages = sorted(r.lang for r in got if r.bucket == -1 and r.n >= 3)
+    def counted(parts: dict[str, int]) -> dict[str, dict[int, int]]:
+        """Counts by bucket of so many millionths of each language's rows; under -1 the number of texts with letters."""
+        picked = F.broadcast(df.sparkSession.createDataFrame(list(parts.items()), "lang string, part long"))
+        some = rows.join(picked, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("part")).select("text", "lang")
+        out: dict[str, dict[int, int]] = {}
+        for r in some.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+            out.setdefault(r.lang, {})[r.bucket] = r.n
+        return out
+
+    parts = {x: int(1_000_000 * min(1.0, sample / n)) for x, n in sizes.items()}
+    got = counted(parts) if parts else {}
+    # the hash may pass over a language that is mostly copies of few texts
+    missed = {x: 1_000_000 for x, part in parts.items() if part < 1_000_000 and got.get(x, {}).get(-1, 0) < LEAST}
+    got |= counted(missed) if missed else {}
+    languages = sorted(x for x, own in got.items() if own[-1] >= LEAST)
     counts = np.full((BUCKETS, len(languages)), 0.5)
-    for r in got:
-        if r.bucket >= 0 and r.lang in languages:
-            counts[r.bucket, languages.index(r.lang)] += r.n
-    return Model(languages, np.log(counts / counts.sum(axis=0)) if languages else counts)
+    for i, x in enumerate(languages):
+        for bucket, n in got[x].items():
+            if bucket >= 0:
+                counts[bucket, i] += n
+    return Model(languages, np.log(counts / counts.sum(axis=0)))
 
 
 def evidence(df: DataFrame, model: Model, text: str, declared: Column, url: Column, host: Column, keep: list[str], markup: bool = False) -> DataFrame:
     """The columns of `keep`, host, domain, `logs` (one log likelihood for each language and for other text), `likely`
-    (the class of the greatest, null without any evidence) and `letters` (whether the text has any). A narrow pass."""
+    (the class of the greatest, null without any evidence), `letters` (whether the text has any) and `unlearned` (the
+    declared language, if it is not one of the model's; it speaks for other text). A narrow pass."""
     languages = model.languages
     classes = [*languages, OTHER]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = {x: i for i, x in enumerate(languages)}
+        index = {x: i for i, x in enumerate(classes)}
         step = {k: np.log((1 - e) / (e / max(1, len(languages) - 1))) for k, e in WRONG.items()}
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                logs, likely, letters = [], [], []
+                logs, likely, letters, unlearned = [], [], [], []
                 for t, d, s, top in zip(*(part.column(k).to_pylist() for k in range(4))):
                     own = model.classes(MARKUP.sub(" ", t) if markup else t) if t else np.zeros(len(classes))
                     letters.append(bool(np.any(own)))
+                    unlearned.append(d if d not in index else None)
+                    d = d if d is None or d in index else OTHER
                     for value, kind in ((d, "declared"), (s, "segment"), (DOMAINS.get(top), "domain")):
                         if value in index:
                             own[index[value]] += step[kind]
                     logs.append(own)
                     likely.append(classes[int(np.argmax(own))] if np.any(own) else None)
-                yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(logs, pa.list_(pa.float64())), pa.array(likely, pa.string()), pa.array(letters, pa.bool_())], [*part.schema.names[4:], "logs", "likely", "letters"])
+                yield pa.RecordBatch.from_arrays([*part.columns[4:], pa.array(logs, pa.list_(pa.float64())), pa.array(likely, pa.string()), pa.array(letters, pa.bool_()), pa.array(unlearned, pa.string())], [*part.schema.names[4:], "logs", "likely", "letters", "unlearned"])
 
     segment = F.lower(F.regexp_extract(url, r"^[^?#]*?//[^/?#]+/([A-Za-z]{2})(?:[/?#]|$)", 1))
     top = F.regexp_extract(host, r"\.([a-z]{2})$", 1)
     domain = F.coalesce(F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit("")), host)
     rows = df.select(F.col(text).alias("_text"), tag(declared).alias("_declared"), segment.alias("_segment"), top.alias("_top"), *[F.col(c).alias(c) for c in keep], host.alias("host"), domain.alias("domain"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[4:])
-    return rows.mapInArrow(run, f"{schema}, logs array<double>, likely string, letters boolean")
+    return rows.mapInArrow(run, f"{schema}, logs array<double>, likely string, letters boolean, unlearned string")
 
 
 def priors(rows: DataFrame, languages: list[str], smooth: float = SMOOTH) -> tuple[DataFrame, list[float]]:
@@ -172,7 +192,9 @@ def priors(rows: DataFrame, languages: list[str], smooth: float = SMOOTH) -> tup
 
 def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     """Adds lang, posterior and accepted to evidence rows; drops logs. lang is null, posterior 0 and accepted false
-    where the text has no letters or is likelier other text than any language. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
+    where the text has no letters or is likelier other text than any language. Other text that declares a language
+    which could not be learned is taken at its word: lang is that language, and the posterior of other text is
+    lessened by a declaration's rate of error. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
     by_host, broad = priors(rows, [*languages, OTHER])
     by_host = written(by_host)
     small = by_host.count() <= HOSTS  # else the join is a shuffle, which AQE splits where a host is hot
@@ -181,28 +203,25 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     out = out.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
     mass = F.aggregate(F.transform("_sum", lambda x: F.exp(x - F.col("_top"))), F.lit(0.0), lambda a, x: a + x)
     best = F.element_at(F.array(*[F.lit(x or None) for x in [*languages, OTHER]]), F.array_position("_sum", F.col("_top")).cast("int"))
-    out = out.withColumn("lang", F.when(F.col("letters"), best))
-    out = out.withColumn("posterior", F.when(F.col("lang").isNotNull(), 1 / mass).otherwise(F.lit(0.0))).withColumn("accepted", F.col("posterior") >= ACCEPT)
-    return out.drop("_sum", "_top", "prior", "logs")
-
-
-def _unknown(df: DataFrame, keep: list[str]) -> DataFrame:
-    """All rejected: no row declares a language."""
-    return df.select(*keep).select("*", F.lit(None).cast("string").alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("accepted"))
+    out = out.withColumn("_best", F.when(F.col("letters"), best))
+    taken = F.col("letters") & F.col("_best").isNull()
+    out = out.withColumn("lang", F.when(taken, F.col("unlearned")).otherwise(F.col("_best")))
+    sure = F.when(taken, 1 - WRONG["declared"]).otherwise(F.lit(1.0)) / mass
+    out = out.withColumn("posterior", F.when(F.col("lang").isNotNull(), sure).otherwise(F.lit(0.0))).withColumn("accepted", F.col("posterior") >= ACCEPT)
+    return out.drop("_sum", "_top", "_best", "prior", "logs", "unlearned")
 
 
 def identify_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, lang, posterior, accepted.
 
-    A null or wordless page, and one that resembles no learned language, is rejected with a null lang and posterior 0;
+    A null or wordless page, and one that neither resembles a learned language nor declares one that could not be
+    learned, is rejected with a null lang and posterior 0;
     a null address has no address evidence and
     the whole table's prior; repeated rows stay repeated; other columns are not read. A table in which no page
-    declares a language is rejected as a whole; an empty one gives an empty result."""
+    declares a language is rejected as a whole; where too few declare each, pages are taken at their word; an empty one gives an empty result."""
     page = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     page = page.withColumn("declared", F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
     model = fit(page, "html", "declared", markup=True)
-    if not model.languages:
-        return _unknown(page, ["id", "url"]).withColumnsRenamed({"id": id_col, "url": url_col})
     rows = written(evidence(page, model, "html", F.col("declared"), F.col("url"), host_of(F.col("url")), ["id", "url"], markup=True))
     out = fused(rows, model.languages).select("id", "url", "lang", "posterior", "accepted")
     return out.withColumnsRenamed({"id": id_col, "url": url_col})
@@ -212,13 +231,11 @@ def known(df: DataFrame, text_col: str = "text", declared_col: str = "lang", hos
     """The rows of df, with all its columns, whose language is told with a posterior of at least ACCEPT.
 
     The declared language is a column and the source stands for the host; there is no address. Rows without letters
-    and those that resemble no learned language go; a null source has the whole table's prior. The rows are written once with their evidence, so each text is
+    and those that neither resemble a learned language nor declare one that could not be learned go; a null source has the whole table's prior. The rows are written once with their evidence, so each text is
     scored once; then only the small table of priors is joined to them."""
     names = df.columns
     own = df.toDF(*[f"_k{i}" for i in range(len(names))])
     text, declared, host = (f"_k{names.index(c)}" for c in (text_col, declared_col, host_col))
     model = fit(own, text, declared)
-    if not model.languages:
-        return df.filter(F.lit(False))
     rows = written(evidence(own, model, text, F.col(declared), F.lit(None).cast("string"), F.col(host).cast("string"), own.columns))
     return fused(rows, model.languages).filter("accepted").select(*own.columns).toDF(*names)

@@ -75,6 +75,18 @@ def test_foreign_and_random_texts_are_rejected(spark):
     assert kept == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_rare_languages_are_learned_or_taken_at_their_word(spark):
+    docs = [(i, text("de" if i % 2 else "en", i), "de" if i % 2 else "en", None) for i in range(4000)]
+    docs += [(5000 + i, f"{FOREIGN[3]} {i}", "fi", None) for i in range(3)] + [(6000, FOREIGN[0], "pl", None), (6001, FOREIGN[1], None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    assert langid.fit(df, "text", "lang").languages == ["de", "en", "fi"]
+    assert {r.doc_id for r in langid.known(df).collect()} == {d[0] for d in docs} - {6001}
+    few = df.filter("doc_id in (1, 2, 5000, 6000, 6001)")  # no language has three rows
+    assert {r.doc_id for r in langid.known(few).collect()} == {1, 2, 5000, 6000}
+    pages = few.selectExpr("doc_id as page_id", "'https://a.org/' as url", """concat('<html lang="', coalesce(lang, ''), '"><p>', text) as html""")
+    assert {r.page_id: (r.lang, r.accepted) for r in langid.identify_pages(pages).collect()} == {1: ("de", True), 2: ("en", True), 5000: ("fi", True), 6000: ("pl", True), 6001: (None, False)}
+
+
 def test_pages_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op2_language_id(spark, sf).collect()
