@@ -27,6 +27,8 @@ from .bytebpe import Memo
 from .shared import written
 
 BUCKETS = 1 << 14
+#: Longer words are counted in parts and not kept.
+PIECE = 60
 #: Rows of each declared language that the trigram counts are learned from, at most about so many.
 SAMPLE = 750
 #: Texts with letters that must declare a language for it to be learned.
@@ -63,9 +65,14 @@ def host_of(url: Column) -> Column:
     return F.when(got != "", got)
 
 
-def _trigrams(word: str) -> list[int]:
-    data = f" {word[:60]} "
-    return [zlib.crc32(data[i : i + 3].encode()) % BUCKETS for i in range(len(data) - 2)]
+def _parts(word: str) -> list[str]:
+    """The word with a space at both ends, cut after every PIECE trigrams, so that each trigram stands in one part."""
+    data = f" {word} "
+    return [data[i : i + PIECE + 2] for i in range(0, len(data) - 2, PIECE)]
+
+
+def _trigrams(part: str) -> list[int]:
+    return [zlib.crc32(part[i : i + 3].encode()) % BUCKETS for i in range(len(part) - 2)]
 
 
 @dataclass
@@ -77,7 +84,8 @@ class Model:
 
     def __post_init__(self):
         log = np.hstack([self.log, np.full((BUCKETS, 1), -np.log(BUCKETS))])
-        self._word = Memo(lambda w: log[_trigrams(w)].sum(axis=0), 30_000)
+        self._sum = lambda w: sum(log[_trigrams(x)].sum(axis=0) for x in _parts(w))
+        self._word = Memo(self._sum, 30_000)
 
     def __reduce__(self):
         return Model, (self.languages, self.log)
@@ -91,7 +99,7 @@ class Model:
         words = Counter(WORD.findall(text.lower()))
         if not words:
             return np.zeros(len(self.languages) + 1)
-        rows = np.array([self._word[w] for w in words])
+        rows = np.array([self._word[w] if len(w) <= PIECE else self._sum(w) for w in words])
         return TEMPER * (np.array(list(words.values())) @ rows)
 
 
@@ -111,7 +119,8 @@ def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: i
                 words = Counter(WORD.findall((MARKUP.sub(" ", t) if markup else t).lower()))
                 texts[lang] += bool(words)
                 for w, k in words.items():
-                    np.add.at(own, _trigrams(w), k)
+                    for x in _parts(w):
+                        np.add.at(own, _trigrams(x), k)
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(own[at], texts[lang]), pa.int64())], ["lang", "bucket", "n"])

@@ -33,6 +33,9 @@ VOCABULARY = 4000
 SAMPLE = 1200
 #: A training text whose label the net contradicts by so many logits is left out, until it does so no more.
 DOUBT = 1.0
+#: Longest word; a longer run is several, each about as long as usual words, whose n-grams' means they resemble.
+LONGEST = 60
+PIECE = 10
 #: Rows of the table of word inputs that a worker keeps.
 KEPT = 60_000
 
@@ -41,12 +44,17 @@ WORD = re.compile(r"\w+")
 
 def grams(word: str) -> list[int]:
     """Buckets of the word's character n-grams of 3 and 4, with marks at both ends."""
-    data = f"<{word[:60]}>".encode()
+    data = f"<{word}>".encode()
     return [zlib.crc32(data[i : i + n]) % BUCKETS for n in (3, 4) for i in range(max(1, len(data) - n + 1))]
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The runs of word characters, lower-cased. A run of over LONGEST characters, as in scripts without spaces, gives
+    successive words of PIECE that overlap by 3, so that no n-gram of it is lost."""
+    found = WORD.findall(text.lower())
+    if any(len(w) > LONGEST for w in found):
+        return [x for w in found for x in ([w[i : i + PIECE] for i in range(0, len(w) - 3, PIECE - 3)] if len(w) > LONGEST else [w])]
+    return found
 
 
 def starts(n: int) -> range:

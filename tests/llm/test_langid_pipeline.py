@@ -1,6 +1,8 @@
 import math
+import zlib
 
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tessera.llm import langid, queries
@@ -87,6 +89,16 @@ def test_rare_languages_are_learned_or_taken_at_their_word(spark):
     assert {r.page_id: (r.lang, r.accepted) for r in langid.identify_pages(pages).collect()} == {1: ("de", True), 2: ("en", True), 5000: ("fi", True), 6000: ("pl", True), 6001: (None, False)}
 
 
+def test_long_runs_are_read_to_their_end():
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b"], np.log(rng.random((langid.BUCKETS, 2))))
+    for n in (1, 59, 60, 61, 62, 120, 121, 500):
+        word = "".join(rng.choice(list("abcdefgh"), n))
+        data = f" {word} "
+        whole = sum(model.log[zlib.crc32(data[i : i + 3].encode()) % langid.BUCKETS] for i in range(len(data) - 2))
+        assert model.text(word) == pytest.approx(langid.TEMPER * whole)
+
+
 def test_pages_query(spark, sf):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = queries.op2_language_id(spark, sf).collect()

@@ -65,3 +65,14 @@ def test_few_labels(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0}
     one = spark.createDataFrame([(i, 1) for i in range(8)], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.score(docs, toxicity.fit(docs, one)).collect()} == {1}
+
+
+def test_long_runs_are_read_to_their_end(net):
+    run = "abcdefghij" * 30
+    for n in (1, 59, 60, 61, 117, 118, 300):
+        pieces = toxicity.words_of(run[:n])
+        assert all(len(w) <= 60 for w in pieces) and (n > 60 or pieces == [run[:n]]) and pieces[0] + "".join(w[3:] for w in pieces[1:]) == run[:n]
+    clean = "the_quiet_river_runs_over_stones_and_sand_" * 20
+    toxic = clean + "you_are_a_grumblefool_and_a_grumbler_grumblefool_" * 3
+    scores = toxicity.Scorer(net).scores([clean, toxic])
+    assert scores[0] < 0.5 <= scores[1]
