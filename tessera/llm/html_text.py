@@ -30,20 +30,22 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 INLINE_FORMAT = frozenset("a abbr b big cite code em font i mark q s small span strike strong sub sup tt u".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary"}
 CONTAINERS = frozenset("article body div main section td blockquote html center table tbody tr".split())
-#: Words of class, id and role names that mark what is not the article, and those that mark it.
-BOILERPLATE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget|complementary|contentinfo|dialog|search)(?:$|[\s_-])", re.I)
+#: Words of class, id and role names that mark what is not the article, if they are the whole name
+#: (`comments`, `cookie-notice`, but not `has-sidebar` or `category-social`), and those that mark it.
+BOILERPLATE = re.compile(r"(?:ad|ads|advert\w*|banner|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget|complementary|contentinfo|dialog|search)(?:[_-]+(?:ad|ads|advert\w*|banner|breadcrumbs?|byline-links|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|pagination|pager|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|taboola|tags|toolbar|widget|complementary|contentinfo|dialog|search))*", re.I)
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 HEADING = re.compile(r"(?:article|entry|post|story)[_-]?header", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "out", "wanted", "score")
+    __slots__ = ("tag", "parent", "kids", "out", "wanted", "score", "named")
 
     def __init__(self, tag: str, parent: Node | None, out: bool, wanted: bool):
         self.tag, self.parent, self.out, self.wanted = tag, parent, out, wanted
         self.kids: list[Node | str] = []
         self.score = 0.0
+        self.named = False
 
 
 def tree(source: str) -> list[Node]:
@@ -79,8 +81,8 @@ def tree(source: str) -> list[Node]:
         names = " ".join(x.strip("\"'") for x in NAMES.findall(attributes)) if "=" in attributes else ""
         wanted = tag in ("article", "main") or bool(names and ARTICLE.search(names))
         out = tag in DROPPED or tag == "head" or tag == "header" and not _inside(node, ("article", "main")) or bool(attributes and HIDDEN.search(attributes))
-        out = out or bool(names and BOILERPLATE.search(names) and tag not in ("article", "main", "h1") and not HEADING.search(names))
         kid = Node(tag, node, out, wanted)
+        kid.named = bool(names and any(map(BOILERPLATE.fullmatch, names.split())) and tag not in ("article", "main", "h1") and not HEADING.search(names))
         node.kids.append(kid)
         nodes.append(kid)
         if not (attributes.endswith("/") and tag not in BLOCKS):
@@ -191,18 +193,47 @@ def _walk(node: Node, block: Node, own: list[tuple[str, bool]], linked: bool) ->
                 yield from _flushed(block, own)
 
 
+def _points(text: str) -> int:
+    return 1 + sum(text.count(c) for c in ",،、，") + min(len(text) // 100, 3)
+
+
+def settle(nodes: list[Node]) -> None:
+    """Puts out the elements whose names mark boilerplate, but none that holds an article or main element (unless it
+    stands in an article itself), and none with most of the page's points (unless an article or main element with
+    points stands beside it)."""
+    if not any(x.named for x in nodes):
+        return
+    points = dict.fromkeys(nodes, 0)
+    for block, text, _ in blocks(nodes[0]):
+        points[block] += _points(text)
+    articles, around, inside = dict.fromkeys(nodes, 0), {}, {}
+    for x in reversed(nodes):  # children come after their parents
+        articles[x] += x.tag in ("article", "main") and points[x] > 0
+        if x.parent is not None:
+            points[x.parent] += points[x]
+            articles[x.parent] += articles[x]
+    for x in nodes:
+        own = x.tag in ("article", "main") and points[x] > 0
+        around[x] = around.get(x.parent, 0) + own
+        inside[x] = inside.get(x.parent, False) or x.tag == "article"
+        if x.named:
+            beside = articles[nodes[0]] - articles[x] - around[x]
+            x.out = x.out or not (articles[x] and not inside[x] or 2 * points[x] > points[nodes[0]] and not beside)
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, white space folded, joined by two line ends; empty if the page has none."""
     if not source:
         return ""
     nodes = tree(source)
+    settle(nodes)
     found = list(blocks(nodes[0]))
     if not found:
         return ""
     size: dict[Node, list[int]] = {}
     holders: dict[Node, None] = {}
     for block, text, links in found:
-        points = 1 + sum(text.count(c) for c in ",،、，") + min(len(text) // 100, 3)
+        points = _points(text)
         up, share = (block if block.tag in CONTAINERS else block.parent or block), 1.0
         if block.tag in ("p", "pre", "td", "blockquote", "div", "section", "article", "body", "html", "main", "li", "dd"):
             if block.tag in ("li", "dd"):

@@ -30,6 +30,17 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("names", ["content has-sidebar", "layout sidebar-right content", "entry no-comments", "post type-post category-social tag-search", "content sidebar"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_keep_the_article(names, tag):
+    page = f"<body><ul class='nav'><li><a href=/>Home</a></ul><div class='{names}'><{tag}><p>One, two, three.</p><p>Four, five.</p></{tag}><div class='cookie-notice'><p>Yes, cookies.</p></div></div><div class='site-links widget'><p>Buy, now.</p></div></body>"
+    assert html_text.main_text(page) == "One, two, three.\n\nFour, five."
+
+
+def test_long_comments_beside_a_short_article_go():
+    assert html_text.main_text("<article><p>One, two.</p></article><section class=comments><p>a, b, c, d, e, f, g, h, i, j</p></section>") == "One, two."
+
+
 def test_deep_and_long_pages_take_linear_time():
     assert html_text.main_text("<div>x, y" * 20_000).count("x, y") == 20_000
     assert len(html_text.main_text("<p>" + "word, " * 200_000)) > 1_000_000
