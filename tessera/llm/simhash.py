@@ -99,9 +99,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = fingerprint_of(edges)
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # a hub may hold most edges: the side with one row a node is written, so that Spark can split the other one
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
+        large = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small)
         after = fingerprint_of(edges)
@@ -118,6 +119,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     keyed = _keyed(nodes.select("fp"))
     # the least fingerprint under a key, or of those whose bit is 0
     hubs = keyed.groupBy("key").agg(F.min(F.when(F.coalesce("half", F.lit(0)) == 0, F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and hub is not null").select("key", "hub")
+    hubs = written(hubs)  # at most 64 x 2**21 rows; Spark then splits a key that holds many fingerprints
     stars = keyed.join(hubs, (keyed.key == hubs.key) & (F.coalesce("half", F.lit(1)) == 1) & (F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance))
     edges = written(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     labels = components(edges)
@@ -138,25 +140,35 @@ def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dista
 
     component_id is the least id among all rows reachable over links of at most `distance` bits, itself included.
     Null, empty and blank texts have fingerprint zero, which links like any other; null ids take part but are never
-    a component's least id unless it has no other (then null). Other columns are not read; an empty table gives an
-    empty result."""
+    a component's least id unless it has no other (then null). Repeated rows and rows that share an id on unlike texts
+    are each a row of the result, so ties need no rule. A text is read whole whatever its length, with its shingles'
+    hashes in memory at once. Other columns are not read; an empty table gives an empty result."""
+    return _grouped(df, id_col, text_col, distance).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> DataFrame:
+    """id, fp, text_key, component_id and label (the component's least fingerprint) of every row."""
     rows = written(fingerprints(df, id_col, text_col))
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
-    labels = components(links(nodes, distance))
-    labelled = nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = written(labelled.join(ids, "label").select("fp", "component_id"))
-    out = rows.join(of, "fp")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_key")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, with all its columns, that stand for their component: one row of each.
-
-    It is the row of least id; of rows equal in id and text one stays. Rows without an id all stay."""
-    found = cluster(df, id_col, text_col)
-    stay = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__tessera_id")).agg(F.min("text_key").alias("__tessera_text"))
-    kept = df.join(stay, (F.col(id_col) == F.col("__tessera_id")) & text_key(text_col).eqNullSafe(F.col("__tessera_text")))
-    order = Window.partitionBy("__tessera_id").orderBy(F.lit(1))
-    kept = kept.withColumn("__tessera_n", F.row_number().over(order)).filter("__tessera_n = 1").select(*df.columns)
-    return kept.union(df.filter(F.col(id_col).isNull()))
+    labels = written(components(links(nodes, distance)))
+    # both sides of each join are written: a component or a text with a third of all rows is split by Spark
+    labelled = written(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    ids = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
+    of = written(labelled.join(ids, "label").select("fp", "label", "component_id"))
+    return rows.join(of, "fp")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The rows of df, with all its columns, that stand for their component: exactly one row of each.
+
+    It is the row of least id (a null id only if there is no other); of several rows with that id, the one of the
+    least hash of its text, a null text first; of rows equal in both, any. So two unlike texts that share an id both
+    stay, and so do rows without an id that are alone in their component. An empty table gives an empty one; columns
+    of df may have any names."""
+    grouped = _grouped(df, id_col, text_col, distance)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("r")
+    stay = written(grouped.groupBy("label").agg(first).select(F.col("r.id").alias("__tessera_id"), F.col("r.text_key").alias("__tessera_text")))
+    own = df.withColumn("__tessera_own", text_key(text_col))
+    near = own.join(stay, F.col(id_col).eqNullSafe(F.col("__tessera_id")) & F.col("__tessera_own").eqNullSafe(F.col("__tessera_text")))
+    order = Window.partitionBy("__tessera_id", "__tessera_text").orderBy(F.lit(1))
+    return near.withColumn("__tessera_n", F.row_number().over(order)).filter("__tessera_n = 1").select(*df.columns)

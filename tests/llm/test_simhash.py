@@ -86,6 +86,27 @@ def test_odd_rows_and_keeping_one(spark):
     assert {r.component_id for r in rows if r.doc_id in (2, 3, 5)} == {2}
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 7]
-    assert simhash.cluster(df.limit(0)).collect() == []
+    assert simhash.cluster(df.limit(0)).collect() == [] and simhash.keep_one(df.limit(0)).collect() == []
     big = df.union(df.select((F.col("doc_id") + 100), *df.columns[1:]))
-    assert sorted(r.doc_id or 0 for r in simhash.keep_one(big).collect()) == [0, 0, 1, 2, 7]
+    assert sorted(r.doc_id or 0 for r in simhash.keep_one(big).collect()) == [0, 1, 2, 7]
+
+
+def test_one_row_of_each_component_whatever_its_id(spark):
+    """Against brute force, where ids repeat on unlike texts, are null, or whole rows repeat."""
+    r = random.Random(5)
+    bases = [" ".join(r.choice("river stone valley bird green quiet winter road lamp house tree cloud".split()) + str(r.randrange(50)) for _ in range(60)) for _ in range(12)]
+    texts = [*bases, *(b + " end" for b in bases[:6]), None, "", "  "]
+    rows = [(r.choice([None, 5, 5, 6, 7, r.randrange(100)]), r.choice(texts)) for _ in range(90)] + [(5, bases[0]), (5, bases[1]), (5, bases[0])]
+    want = set()
+    groups = defaultdict(list)
+    root = brute_components([(brute_fp(t), brute_fp(t)) for _, t in rows])
+    for i, t in rows:
+        groups[root[brute_fp(t), brute_fp(t)]].append((i, t))
+    least = {g: min((i for i, _ in of if i is not None), default=None) for g, of in groups.items()}
+    kept = [(x.doc_id, x.text) for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == len(groups)
+    for i, t in kept:
+        g = root[brute_fp(t), brute_fp(t)]
+        want.add(g)
+        assert i == least[g] and (i, t) in groups[g]
+    assert want == groups.keys()
