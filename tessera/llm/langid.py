@@ -13,7 +13,6 @@ a language's smoothed counts say before any text is seen, so what resembles none
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytebpe import Memo
-from .shared import written
+from .shared import sampled, written
 
 BUCKETS = 1 << 14
-#: Longer words are counted in parts and not kept.
-PIECE = 60
+#: Trigrams that are hashed at a time.
+PIECE = 1 << 16
 #: Rows of each declared language that the trigram counts are learned from, at most about so many.
 SAMPLE = 750
 #: Texts with letters that must declare a language for it to be learned.
 LEAST = 3
+#: Count that a trigram bucket has before any text is seen. Small, so that a language of few texts does not spread
+#: its likelihood over all buckets, which other text does.
+UNSEEN = 0.1
 #: Weight of a text's log likelihood: neighbouring trigrams tell much the same.
 TEMPER = 0.3
 #: Rates at which a declaration, a path segment and a top-level domain name another language than the text's.
@@ -50,7 +51,8 @@ OTHER = ""
 DOMAINS = {"de": "de", "at": "de", "li": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "cl": "es", "co": "es", "pe": "es", "uk": "en", "us": "en", "au": "en", "nz": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "se": "sv", "dk": "da", "fi": "fi", "no": "no", "cz": "cs", "tr": "tr", "gr": "el", "kr": "ko", "hu": "hu", "ro": "ro"}
 
 WORD = re.compile(r"[^\W\d_]+")
-MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+#: What is not closed goes to the end of the page, so that no piece of a page is read twice.
+MARKUP = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<[a-z/!?][^>]*(?:>|\Z)", re.S | re.I)
 CODE = r"^\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$"
 
 
@@ -65,14 +67,20 @@ def host_of(url: Column) -> Column:
     return F.when(got != "", got)
 
 
-def _parts(word: str) -> list[str]:
-    """The word with a space at both ends, cut after every PIECE trigrams, so that each trigram stands in one part."""
-    data = f" {word} "
-    return [data[i : i + PIECE + 2] for i in range(0, len(data) - 2, PIECE)]
-
-
-def _trigrams(part: str) -> list[int]:
-    return [zlib.crc32(part[i : i + 3].encode()) % BUCKETS for i in range(len(part) - 2)]
+def trigrams(text: str) -> np.ndarray | None:
+    """How often each bucket's trigrams stand in the text's words (lower-cased runs of letters with a space at both
+    ends); None for a text without letters."""
+    words = WORD.findall(text.lower())
+    if not words:
+        return None
+    codes = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), np.uint32)
+    out = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(codes) - 2, PIECE):
+        c = codes[i : i + PIECE + 2]
+        h = c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)
+        h = (h ^ h >> np.uint32(15)) * np.uint32(0x27D4EB2F) >> np.uint32(18)  # the upper bits, as many as BUCKETS has
+        out += np.bincount(h[c[1:-1] != 32], minlength=BUCKETS)  # none crosses from word to word
+    return out
 
 
 @dataclass
@@ -83,9 +91,7 @@ class Model:
     log: np.ndarray  # BUCKETS x languages
 
     def __post_init__(self):
-        log = np.hstack([self.log, np.full((BUCKETS, 1), -np.log(BUCKETS))])
-        self._sum = lambda w: sum(log[_trigrams(x)].sum(axis=0) for x in _parts(w))
-        self._word = Memo(self._sum, 30_000)
+        self._log = np.hstack([self.log, np.full((BUCKETS, 1), -np.log(BUCKETS))])
 
     def __reduce__(self):
         return Model, (self.languages, self.log)
@@ -96,11 +102,11 @@ class Model:
 
     def classes(self, text: str) -> np.ndarray:
         """The same, and that of other text at the end."""
-        words = Counter(WORD.findall(text.lower()))
-        if not words:
+        counts = trigrams(text)
+        if counts is None:
             return np.zeros(len(self.languages) + 1)
-        rows = np.array([self._word[w] if len(w) <= PIECE else self._sum(w) for w in words])
-        return TEMPER * (np.array(list(words.values())) @ rows)
+        at = np.flatnonzero(counts)
+        return TEMPER * (counts[at] @ self._log[at])
 
 
 def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: int = SAMPLE) -> Model:
@@ -115,32 +121,30 @@ def fit(df: DataFrame, text: str, declared: str, markup: bool = False, sample: i
         texts: Counter = Counter()
         for batch in batches:
             for t, lang in zip(*(c.to_pylist() for c in batch.columns)):
-                own = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                words = Counter(WORD.findall((MARKUP.sub(" ", t) if markup else t).lower()))
-                texts[lang] += bool(words)
-                for w, k in words.items():
-                    for x in _parts(w):
-                        np.add.at(own, _trigrams(x), k)
+                own, found = counts.setdefault(lang, np.zeros(BUCKETS, np.int64)), trigrams(MARKUP.sub(" ", t) if markup else t)
+                if found is not None:
+                    texts[lang] += 1
+                    own += found
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(own[at], texts[lang]), pa.int64())], ["lang", "bucket", "n"])
 
-    def counted(parts: dict[str, int]) -> dict[str, dict[int, int]]:
-        """Counts by bucket of so many millionths of each language's rows; under -1 the number of texts with letters."""
-        picked = F.broadcast(df.sparkSession.createDataFrame(list(parts.items()), "lang string, part long"))
-        some = rows.join(picked, "lang").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("part")).select("text", "lang")
+    def counted(parts: dict[str, float]) -> dict[str, dict[int, int]]:
+        """Counts by bucket of such shares of each language's rows; under -1 the number of texts with letters."""
+        picked = F.broadcast(df.sparkSession.createDataFrame(list(parts.items()), "lang string, part double"))
+        some = rows.join(picked, "lang").filter(sampled(F.col("text"), F.col("part"))).select("text", "lang")
         out: dict[str, dict[int, int]] = {}
         for r in some.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
             out.setdefault(r.lang, {})[r.bucket] = r.n
         return out
 
-    parts = {x: int(1_000_000 * min(1.0, sample / n)) for x, n in sizes.items()}
+    parts = {x: min(1.0, sample / n) for x, n in sizes.items()}
     got = counted(parts) if parts else {}
     # the hash may pass over a language that is mostly copies of few texts
-    missed = {x: 1_000_000 for x, part in parts.items() if part < 1_000_000 and got.get(x, {}).get(-1, 0) < LEAST}
+    missed = {x: 1.0 for x, part in parts.items() if part < 1 and got.get(x, {}).get(-1, 0) < LEAST}
     got |= counted(missed) if missed else {}
     languages = sorted(x for x, own in got.items() if own[-1] >= LEAST)
-    counts = np.full((BUCKETS, len(languages)), 0.5)
+    counts = np.full((BUCKETS, len(languages)), UNSEEN)
     for i, x in enumerate(languages):
         for bucket, n in got[x].items():
             if bucket >= 0:
@@ -203,10 +207,12 @@ def fused(rows: DataFrame, languages: list[str]) -> DataFrame:
     """Adds lang, posterior and accepted to evidence rows; drops logs. lang is null, posterior 0 and accepted false
     where the text has no letters or is likelier other text than any language. Other text that declares a language
     which could not be learned is taken at its word: lang is that language, and the posterior of other text is
-    lessened by a declaration's rate of error. Up to HOSTS prior rows are broadcast, so that rows with their texts need not be shuffled."""
+    lessened by a declaration's rate of error. Whether the priors are broadcast (up to HOSTS rows, a few MB) or joined
+    by a shuffle is a choice of plan, by a count of their rows; the result is the same. In the shuffle both sides are
+    written tables, so Spark splits a host that holds a large part of the rows."""
     by_host, broad = priors(rows, [*languages, OTHER])
     by_host = written(by_host)
-    small = by_host.count() <= HOSTS  # else the join is a shuffle, which AQE splits where a host is hot
+    small = by_host.count() <= HOSTS
     out = rows.join(F.broadcast(by_host) if small else by_host, "host", "left")
     total = F.zip_with("logs", F.coalesce("prior", F.array(*map(F.lit, broad))), lambda a, b: a + b)
     out = out.withColumn("_sum", total).withColumn("_top", F.array_max("_sum"))
@@ -225,11 +231,13 @@ def identify_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     A null or wordless page, and one that neither resembles a learned language nor declares one that could not be
     learned, is rejected with a null lang and posterior 0;
-    a null address has no address evidence and
-    the whole table's prior; repeated rows stay repeated; other columns are not read. A table in which no page
-    declares a language is rejected as a whole; where too few declare each, pages are taken at their word; an empty one gives an empty result."""
+    a null address has no address evidence and the whole table's prior; repeated rows
+    stay repeated; of languages with equal posteriors the first by name is taken; other columns are not read. Pages
+    are read whole, in time that grows with their length. A table in which no page declares a language is rejected as
+    a whole; where too few declare each, pages are taken at their word; an empty one gives an empty result."""
     page = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    page = page.withColumn("declared", F.regexp_extract("html", r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
+    # of the first html tag, found in one step and read in another, so that neither reads a place twice
+    page = page.withColumn("declared", F.regexp_extract(F.regexp_extract("html", r"(?i)<html\b([^>]*)", 1), r"(?i)\blang\s*=\s*[\"']?([A-Za-z_-]+)", 1))
     model = fit(page, "html", "declared", markup=True)
     rows = written(evidence(page, model, "html", F.col("declared"), F.col("url"), host_of(F.col("url")), ["id", "url"], markup=True))
     out = fused(rows, model.languages).select("id", "url", "lang", "posterior", "accepted")
@@ -240,8 +248,10 @@ def known(df: DataFrame, text_col: str = "text", declared_col: str = "lang", hos
     """The rows of df, with all its columns, whose language is told with a posterior of at least ACCEPT.
 
     The declared language is a column and the source stands for the host; there is no address. Rows without letters
-    and those that neither resemble a learned language nor declare one that could not be learned go; a null source has the whole table's prior. The rows are written once with their evidence, so each text is
-    scored once; then only the small table of priors is joined to them."""
+    and those that neither resemble a learned language nor declare one that could not be learned go; a null source has
+    the whole table's prior; repeated rows stay or go alike; an empty table gives an empty one; columns may have any
+    names. The rows are written once with their evidence, so each text is scored once; then only the small table of
+    priors is joined to them."""
     names = df.columns
     own = df.toDF(*[f"_k{i}" for i in range(len(names))])
     text, declared, host = (f"_k{names.index(c)}" for c in (text_col, declared_col, host_col))

@@ -1,11 +1,18 @@
 import math
+import re
+import time
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
-from tessera.llm import langid, queries
+from tessera.llm import langid, packing, queries, toxicity
+
+from test_simhash import brute_components, brute_fp
 
 WORDS = {"en": "the quiet river runs over stones and through the green valley with birds".split(), "de": "der ruhige fluss zieht über steine und durch das grüne tal mit vögeln".split()}
 
@@ -89,14 +96,89 @@ def test_rare_languages_are_learned_or_taken_at_their_word(spark):
     assert {r.page_id: (r.lang, r.accepted) for r in langid.identify_pages(pages).collect()} == {1: ("de", True), 2: ("en", True), 5000: ("fi", True), 6000: ("pl", True), 6001: (None, False)}
 
 
-def test_long_runs_are_read_to_their_end():
+def bucket(gram):
+    """The hash of three characters, by whole numbers."""
+    h = 0
+    for c, k in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+        h ^= ord(c) * k & 0xFFFFFFFF
+    h ^= h >> 15
+    return (h * 0x27D4EB2F & 0xFFFFFFFF) >> 18
+
+
+def brute_trigrams(t):
+    out = Counter()
+    for w in re.findall(r"[^\W\d_]+", t.lower()):
+        w = f" {w} "
+        out.update(bucket(w[i : i + 3]) for i in range(len(w) - 2))
+    return out
+
+
+def test_trigrams_of_whole_texts(monkeypatch):
     rng = np.random.default_rng(0)
-    model = langid.Model(["a", "b"], np.log(rng.random((langid.BUCKETS, 2))))
-    for n in (1, 59, 60, 61, 62, 120, 121, 500):
-        word = "".join(rng.choice(list("abcdefgh"), n))
-        data = f" {word} "
-        whole = sum(model.log[zlib.crc32(data[i : i + 3].encode()) % langid.BUCKETS] for i in range(len(data) - 2))
-        assert model.text(word) == pytest.approx(langid.TEMPER * whole)
+    monkeypatch.setattr(langid, "PIECE", 64)
+    texts = ["a", "é b", "x_y 12 z", "人人生而自由" * 40, *("".join(rng.choice(list("abcÄß 1,"), n)) for n in (1, 62, 63, 64, 65, 66, 67, 130, 500))]
+    for t in texts:
+        got, want = langid.trigrams(t), brute_trigrams(t)
+        assert (got is None and not want) or {int(i): int(got[i]) for i in np.flatnonzero(got)} == want
+
+
+def test_posteriors_match_brute_force(spark, pages, monkeypatch):
+    """The whole fusion, in plain Python, from the learned model's numbers on; with both plans of the join of priors."""
+    page = pages.withColumn("declared", F.regexp_extract("html", r'lang="([A-Za-z-]+)', 1))
+    model = langid.fit(page, "html", "declared", markup=True)
+    classes = [*model.languages, ""]
+    flat = np.hstack([model.log, np.full((langid.BUCKETS, 1), -math.log(langid.BUCKETS))])
+    step = {k: math.log((1 - e) / (e / (len(model.languages) - 1))) for k, e in langid.WRONG.items()}
+    rows = []
+    for r in pages.collect():
+        own, words = [0.0] * len(classes), brute_trigrams(re.sub(r"(?s)<script>.*?</script>|<[^>]*>", " ", r.html or ""))
+        for at, n in words.items():
+            own = [x + langid.TEMPER * n * y for x, y in zip(own, flat[at])]
+        told = re.search(r'lang="([a-z]+)', r.html or "")
+        part = re.search(r"//([^/]+)/(?:([a-z]{2})/)?", r.url or "")
+        for value, kind in ((told and told[1], "declared"), (part and part[2], "segment"), (part and langid.DOMAINS.get(part[1][-2:] if part[1][-3] == "." else ""), "domain")):
+            if value in classes:
+                own[classes.index(value)] += step[kind]
+        rows.append((r.page_id, r.url, part and part[1], own, classes[int(np.argmax(own))] if any(own) else None, bool(words)))
+    def share(of, base):
+        return [(sum(x[4] == c for x in of) + 10 * b) / (len(of) + 10) for c, b in zip(classes, base)]
+    seen = [x for x in rows if x[4] is not None]
+    whole = share(seen, [1 / len(classes)] * len(classes))
+    want = Counter()
+    for i, url, host, own, _, letters in rows:
+        prior = whole
+        if host:
+            domain = ".".join(host.split(".")[-2:])
+            wide = share([x for x in seen if x[2] and ".".join(x[2].split(".")[-2:]) == domain], whole)
+            alike = [x for x in seen if x[2] == host]
+            prior = share(alike, wide) if alike else whole
+        total = [a + math.log(p) for a, p in zip(own, prior)]
+        best = int(np.argmax(total))
+        sure = 1 / sum(math.exp(x - total[best]) for x in total)
+        told = letters and classes[best]
+        want[i, url, classes[best] if told else None, round(sure if told else 0.0, 9), bool(told and sure >= 0.5)] += 1
+    for hosts in (langid.HOSTS, 0):
+        monkeypatch.setattr(langid, "HOSTS", hosts)
+        got = Counter((r.page_id, r.url, r.lang, round(r.posterior, 9), r.accepted) for r in langid.identify_pages(pages).collect())
+        assert got == want
+
+
+def test_markup_takes_linear_time_and_bare_signs_stay():
+    for piece in ("<!-- ", "<script ", "<script>", "<style x", "<a ", "< ", "</", "<html "):
+        began = time.perf_counter()
+        langid.MARKUP.sub(" ", piece * (1_000_000 // len(piece)))
+        assert time.perf_counter() - began < 3
+    assert langid.MARKUP.sub(" ", "<p>1 < 2 and <b>so</b> on<!-- x --> end") == " 1 < 2 and  so  on  end"
+
+
+def test_samples_of_huge_tables_do_not_vanish(spark):
+    from tessera.llm.shared import sampled
+
+    df = spark.range(200_000)
+    for share, n in ((1.0, 200_000), (0.1, 20_000), (1e-3, 200), (0.0, 0)):
+        assert df.filter(sampled(F.col("id"), F.lit(share))).count() == pytest.approx(n, rel=0.3)
+    # of 1e10 rows, 750 are wanted: the threshold still tells so fine a share from none
+    assert spark.range(1).select(F.lit(7.5e-8) * 2.0**64 > 1e12).first()[0]
 
 
 def test_pages_query(spark, sf):
@@ -115,18 +197,56 @@ def test_known_keeps_columns_and_clean_rows(spark):
     assert langid.known(df.limit(0)).collect() == []
 
 
-def test_pipeline_stages(spark, sf):
+def test_pipeline_stages_match_brute_force(spark):
+    """run()'s rows against the stages' definitions: what each stage lets pass, by ids, and the pieces of the rest."""
+    sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "toxicity", "SimHash near-dedup", "best-fit packing"]
+    own = {r.doc_id: r.text for r in docs.collect()}
     told = corpus_pipeline.language_id(spark, docs, sf)
-    assert told.columns == docs.columns and {r.doc_id for r in told.collect()} == ids
-    one = corpus_pipeline.near_dedup(spark, docs, sf)
-    groups = queries.op5_simhash_near_dedup(spark, sf).collect()
-    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted({r.component_id for r in groups})
+    assert told.columns == docs.columns and sorted(r.doc_id for r in told.collect()) == sorted(own)
+    net = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    score = dict(zip(own, toxicity.Scorer(net).scores([t or "" for t in own.values()])))
+    fine = {i for i in own if score[i] < 0.5}
+    assert 0 < len(own) - len(fine) < 0.1 * len(own)
+    mild = corpus_pipeline.toxicity_filter(spark, docs, sf)
+    assert mild.columns == docs.columns and sorted(r.doc_id for r in mild.collect()) == sorted(fine)
+    of = brute_components([(i, brute_fp(own[i])) for i in fine])
+    left = set(of.values())
+    one = corpus_pipeline.near_dedup(spark, mild, sf)
+    assert one.columns == docs.columns and sorted(r.doc_id for r in one.collect()) == sorted(left)
     pieces = corpus_pipeline.run(spark, sf).collect()
-    assert {r.doc_id for r in pieces} <= {r.component_id for r in groups} | ids
-    by = {}
+    assert {r.doc_id for r in pieces} == left
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, got, by = {}, {}, {}
+    for i in left:
+        ids = [*library.encode(own[i] or "", add_special_tokens=False).ids, 0]
+        for k, (start, n) in enumerate(packing.cut(len(ids), 2048)):
+            want[i, k] = (start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()))
     for r in pieces:
+        got[r.doc_id, r.piece] = (r.start, r.length, r.ids_crc32)
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert all(sum(n for _, n in x) <= 2048 for x in by.values())
+    assert got == want and len(pieces) == len(want)
+    for of in by.values():  # gapless from 0, and no longer than a sequence
+        end = 0
+        for offset, n in sorted(of):
+            assert offset == end
+            end += n
+        assert end <= 2048
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, clashing extra columns, and an empty table."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, key string, hub long"
+    data = [(i, text("de" if i % 3 == 0 else "en", i, 40), "de" if i % 3 == 0 else "en", None, None, "k", i) for i in range(30)]
+    data += [data[1], (1, text("de", 7, 50), "de", "s", 1, None, None), (None, text("en", 3, 44), None, None, None, None, 5), (40, None, None, None, None, None, None), (41, "", "en", "s", 0, "", 0), (42, "the quiet river runs " * 5000, "en", "s", 0, "", 0)]
+    spark.createDataFrame([(i, 1, int(i % 7 == 0)) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for df in (spark.createDataFrame(data, kind), spark.createDataFrame([], kind)):
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, str(tmp_path))
+            rows = out.collect()
+            if n < 3:
+                assert out.columns == df.columns
+                assert Counter(map(tuple, rows)) <= Counter(map(tuple, df.collect()))
+            else:
+                assert Counter((r.doc_id) for r in rows if r.piece == 0) == Counter(r.doc_id for r in df.collect())
