@@ -24,6 +24,8 @@ SEGMENT = 8192
 #: Columns of a payload's frames, and the most rows in one.
 WIDTH = 64
 HEIGHT = 8192
+#: Pixels of the largest canvas or image that is decoded: 256 MB as RGBA.
+MOST_PIXELS = 1 << 26
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
@@ -209,7 +211,8 @@ def _rows_in_order(height: int) -> np.ndarray:
 
 def decode(data: bytes) -> Iterator[Frame]:
     """The composed frames. An image is drawn where it is not transparent; before the next one its rectangle is left
-    (0, 1), cleared (2) or set back to what stood there (3)."""
+    (0, 1), cleared (2) or set back to what stood there (3). Sizes are what the header claims, so a canvas or image of
+    more than MOST_PIXELS is refused (ValueError)."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -218,6 +221,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
         at += 3 * n
+    if width * height > MOST_PIXELS:
+        raise ValueError("the canvas is larger than MOST_PIXELS")
     canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent, number, start = 0, 0, None, 0, 0
     while at < len(data) and data[at] != 0x3B:
@@ -232,12 +237,16 @@ def decode(data: bytes) -> Iterator[Frame]:
             raise ValueError("unknown block")
         left, top, columns, rows, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
+        if rows * columns > MOST_PIXELS:
+            raise ValueError("an image is larger than MOST_PIXELS")
         palette = shared
         if flags & 0x80:
             n = 2 << (flags & 7)
             palette = np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
             at += 3 * n
         depth = data[at]
+        if not 1 <= depth <= 8:
+            raise ValueError("samples have 1 to 8 bits")
         body, at = _sub_blocks(data, at + 1)
         samples = np.frombuffer(lzw_decode(body, depth, rows * columns).ljust(rows * columns, b"\0"), np.uint8).reshape(rows, columns)
         if flags & 0x40:
@@ -262,7 +271,8 @@ def decode(data: bytes) -> Iterator[Frame]:
 
 def decoded(df: DataFrame, id_col: str, gif_col: str) -> DataFrame:
     """One row per frame: id, frame, start_cs, delay_cs, width, height, rgba (the composed canvas) and histogram (64
-    colour bins). A null gives no frame; so does what is no GIF or breaks off before its first image."""
+    colour bins). A null gives no frame; so does what is no GIF, breaks off before its first image or claims more than
+    MOST_PIXELS. Repeated rows stay repeated; an empty table gives an empty result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,8 +324,9 @@ def stored_text(text: str) -> tuple:
 def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature.
 
-    A null text counts as empty: a payload of 64 zeros. Equal texts give equal values; other columns are not read.
-    One narrow pass; one text's frames are in memory at a time."""
+    A null text counts as empty: a payload of 64 zeros. Equal texts give equal values, so repeated rows give equal
+    rows; other columns are not read; an empty table gives an empty result. One narrow pass; one text's frames are in
+    memory at a time, however long it is."""
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 

@@ -15,8 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A piece of markup: comment, other declaration, or a tag with its attributes; quotes may hide '>'.
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z)""", re.S)
+#: A piece of markup: comment, other declaration, or a tag with its attributes; quotes after '=' may hide '>'. What is
+#: not closed goes to the end, and nothing is taken back, so that no place is read twice.
+MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:=\s*+"[^"]*+(?:"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -52,6 +53,7 @@ def tree(source: str) -> list[Node]:
     """The page's elements, parents before their children. Unclosed paragraphs, items and cells end as in HTML; raw elements and comments go."""
     node = Node("html", None, False, False)
     nodes = [node]
+    ever: set[str] = set()  # names that were opened: another end tag needs no search
     at, n = 0, len(source)
     while at < n:
         m = MARKUP.search(source, at)
@@ -65,7 +67,7 @@ def tree(source: str) -> list[Node]:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = _closed(node, tag)
+            node = _closed(node, tag) if tag in ever else node
             continue
         attributes = m[3]
         if tag in RAW:
@@ -82,6 +84,7 @@ def tree(source: str) -> list[Node]:
         wanted = tag in ("article", "main") or bool(names and ARTICLE.search(names))
         out = tag in DROPPED or tag == "head" or tag == "header" and not _inside(node, ("article", "main")) or bool(attributes and HIDDEN.search(attributes))
         kid = Node(tag, node, out, wanted)
+        ever.add(tag)
         kid.named = bool(names and any(map(BOILERPLATE.fullmatch, names.split())) and tag not in ("article", "main", "h1") and not HEADING.search(names))
         node.kids.append(kid)
         nodes.append(kid)
@@ -290,8 +293,9 @@ def main_text(source: str | None) -> str:
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every row, from the whole page.
 
-    A null or empty page, and one without text, gives the empty text. Repeated rows stay repeated; columns besides
-    the three are not read. One narrow pass, no shuffle."""
+    A null or empty page, and one without text, gives the empty text. Repeated rows stay repeated; of containers with
+    equal points the first in the page is taken; columns besides the three are not read; an empty table gives an empty
+    result. Pages are read whole, however long, one page's tree in memory at a time. One narrow pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

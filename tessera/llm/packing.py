@@ -192,17 +192,20 @@ class Plan:
 
 
 def place(table: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to pieces. The table is read several times: pass one that is written already.
+    """Adds sequence_id and offset to pieces.
 
-    Ties (pieces of one length) are numbered by id, piece, start and checksum; pieces equal in all of these are
-    interchangeable. Null ids are numbered first; an empty table gives an empty result. A length shared by many
-    pieces is numbered in groups of about GROUP pieces, so no task holds a whole class."""
+    The pieces are written once; pieces of one length (ties) are numbered in groups of about GROUP, dealt by their
+    place in the written files, so neither a frequent length nor an id that many rows share fills a task. Within a
+    group the order is that of id (null first), piece, start and checksum. Which of the pieces of one length goes
+    where may differ from run to run; the number of sequences does not. An empty table gives an empty result."""
+    table = written(table)
     histogram = {r[0]: r[1] for r in table.groupBy("length").count().collect()}  # at most `capacity` rows
     plan = Plan(histogram, capacity)
     runs, keys = plan.arrays()
     spark = table.sparkSession
     groups = F.broadcast(spark.createDataFrame([(n, -(-k // GROUP)) for n, k in histogram.items()], "length long, _groups long"))
-    salted = table.join(groups, "length").withColumn("_group", F.pmod(F.xxhash64(id_col, "piece"), "_groups")).drop("_groups")
+    at = F.xxhash64("_metadata.file_name", "_metadata.row_index")
+    salted = table.withColumn("_at", at).join(groups, "length").withColumn("_group", F.pmod("_at", "_groups")).drop("_groups", "_at")
     counts = salted.groupBy("length", "_group").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_group")) - F.col("_n")).drop("_n")
     order = Window.partitionBy("length", "_group").orderBy(id_col, "piece", "start", "ids_crc32")
@@ -225,5 +228,6 @@ def pack(df: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_c
     """Pieces of every whole text with their place: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and the end id; only a document longer than the capacity is cut. A null text counts as
-    empty; repeated rows are packed each; columns other than id and text are not read. Tokenized once."""
-    return place(written(pieces(df, id_col, text_col, capacity, vocab)), capacity, id_col)
+    empty; repeated rows are packed each; columns other than id and text are not read; an empty table gives an empty
+    result. Texts are tokenized whole and once, one text's ids in memory at a time."""
+    return place(pieces(df, id_col, text_col, capacity, vocab), capacity, id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import resident
+from .shared import resident, sampled
 
 WINDOW = 64
 STRIDE = 48
@@ -31,6 +31,9 @@ BUCKETS = 1 << 14
 VOCABULARY = 4000
 #: Labelled rows of each class that are learned from, at most about so many.
 SAMPLE = 1200
+#: Texts of more characters are not learned from (they are scored whole), so that the driver holds at most about
+#: 2 x SAMPLE x LEARNABLE characters.
+LEARNABLE = 60_000
 #: A training text whose label the net contradicts by so many logits is left out, until it does so no more.
 DOUBT = 1.0
 #: Longest word; a longer run is several, each about as long as usual words, whose n-grams' means they resemble.
@@ -345,17 +348,20 @@ def _calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Net:
     """A net learned from labelled rows whose crc32(id as text) mod 5 is not 0: about `sample` rows of each class,
-    chosen by a hash of the id. Rows without id or label are not learned from; of repeated ids the greatest label holds."""
+    chosen by a hash of the id, with texts of at most LEARNABLE characters. Rows without id or label are not learned
+    from; of repeated ids the greatest label and the least text hold, a null text counts as empty. Without labels of
+    both classes the net tells the one that it has, or clean, of every text."""
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 5 != 0))
-    own = own.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    own = own.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     counts = {r[0]: r[1] for r in own.groupBy("label").count().collect()}
     keep = F.lit(False)
     for label, n in counts.items():
-        keep = keep | ((F.col("label") == label) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, sample / n)))))
+        keep = keep | ((F.col("label") == label) & sampled(F.col("id"), F.lit(min(1.0, sample / n))))
     picked = F.broadcast(own.filter(keep))  # about 2 x `sample` rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(picked, "id").collect()
-    rows = sorted({(r.id, r.text or "", r.label) for r in rows})
-    return train([t for _, t, _ in rows], [min(1, max(0, k)) for _, _, k in rows])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).filter(F.length("text") <= LEARNABLE)
+    rows = rows.join(picked, "id").groupBy("id", "label").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r.id)
+    return train([r.text for r in rows], [r.label for r in rows])
 
 
 def _scorer(key: int, net: Net) -> Scorer:
@@ -369,7 +375,9 @@ def _key(net: Net) -> int:
 
 def score(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, held_out, score, predicted. A null text counts as empty and is scored like any
-    other; a null id gives a null held_out; repeated rows stay repeated; other columns are not read."""
+    other; a null id gives a null held_out; repeated rows stay repeated; a score of exactly 0.5 is predicted 1; other
+    columns are not read; an empty table gives an empty result. Texts are scored whole, in time and memory that grow
+    with their words (64 texts at a time)."""
     key = _key(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,7 +395,8 @@ def score(df: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean(df: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """The rows of df that the net does not take for toxic, with all their columns; a narrow pass."""
+    """The rows of df that the net does not take for toxic, with all their columns, whatever their names; a narrow pass.
+    A null text counts as empty; repeated rows stay or go alike; an empty table gives an empty one."""
     key, at = _key(net), df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,15 @@ def test_odd_texts(spark):
         check(t, rows[i])
     assert rows[7].media_sha256 == rows[8].media_sha256 and rows[6].feature.startswith("frames=3;")
     assert gif.round_trip(df.limit(0)).collect() == []
+
+
+def test_claimed_sizes_are_refused(spark):
+    """A header of a few bytes may ask for gigabytes."""
+    head = b"GIF89a" + (65535).to_bytes(2, "little") * 2 + b"\x00\x00\x00"
+    image = b"\x2c\x00\x00\x00\x00" + b"\xff\xff\xff\xff" + b"\x00"
+    small = b"GIF89a\x01\x00\x01\x00\x00\x00\x00"
+    for data in (head + image + b"\x08\x00", small + image + b"\x08\x00", small + image[:5] + b"\x01\x00\x01\x00\x00" + b"\xff\x00"):
+        with pytest.raises(ValueError):
+            list(gif.decode(data))
+    df = spark.createDataFrame([(1, bytearray(head + image)), (2, bytearray(small + image + b"\x08\x00"))], "doc_id long, gif binary")
+    assert gif.decoded(df, "doc_id", "gif").collect() == []

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 from tessera.llm import html_text, queries
@@ -46,6 +47,17 @@ def test_deep_and_long_pages_take_linear_time():
     assert len(html_text.main_text("<p>" + "word, " * 200_000)) > 1_000_000
 
 
+@pytest.mark.parametrize("piece", ["<!-- ", "<a '", '<a "', "<a b='", '<a b="x', "<script>", "<x", "</x>", "<div></x>", "a < b ", "<p class=", "&amp"])
+def test_broken_markup_takes_linear_time(piece):
+    began = time.perf_counter()
+    html_text.main_text(piece * 60_000)
+    assert time.perf_counter() - began < 10
+
+
+def test_quotes_without_a_value_hide_nothing():
+    assert html_text.main_text("""<article><p class=a">One, two.</p><p title="a > b" it's>Three, four.</p></article>""") == "One, two.\n\nThree, four."
+
+
 def test_query_gives_each_article(spark, sf):
     rows = {r.page_id: r for r in queries.op9_html_main_text(spark, sf).collect()}
     pages = spark.read.parquet(f"{sf}/pages.parquet").collect()

@@ -76,3 +76,56 @@ def test_long_runs_are_read_to_their_end(net):
     toxic = clean + "you_are_a_grumblefool_and_a_grumbler_grumblefool_" * 3
     scores = toxicity.Scorer(net).scores([clean, toxic])
     assert scores[0] < 0.5 <= scores[1]
+
+
+def test_scores_match_brute_force(net):
+    """Each window by itself, word by word and step by step."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def inputs(word):
+        data = f"<{word}>".encode()
+        grams = [data[i : i + n] for n in (3, 4) for i in range(max(1, len(data) - n + 1))]
+        char = sum(p["char"][zlib.crc32(g) % toxicity.BUCKETS] for g in grams) / len(grams)
+        return np.concatenate([p["word"][net.vocabulary.get(word, len(net.vocabulary))], char])
+
+    def states(xs, side):
+        out, last = [], np.zeros(h)
+        for x in xs if side == "f" else xs[::-1]:
+            a, r = x @ p[f"W{side}"] + p[f"c{side}"], last @ p[f"U{side}"]
+            z, q = sigmoid(a[:h] + r[:h]), sigmoid(a[h : 2 * h] + r[h : 2 * h])
+            n = np.tanh(a[2 * h :] + q * r[2 * h :])
+            last = z * last + (1 - z) * n
+            out.append(last)
+        return out if side == "f" else out[::-1]
+
+    def score(text):
+        words, best = text.lower().split(), -np.inf
+        for begin in range(0, max(1, len(words) - 16), 48):
+            xs = [inputs(w) for w in words[begin : begin + 64]]
+            s = np.hstack([np.array(states(xs, "f")), np.array(states(xs, "b"))])
+            e = np.tanh(s @ p["A"] + p["a"]) @ p["v"]
+            w = np.exp(e - e.max())
+            best = max(best, float((w / w.sum()) @ s @ p["o"] + p["k"][0]))
+        return sigmoid(net.slope * best + net.offset)
+
+    rng = np.random.default_rng(3)
+    known = [*net.vocabulary, "unheard", "of", "grumblefool"]
+    texts = [" ".join(rng.choice(known, n)) for n in (1, 2, 10, 63, 64, 65, 112, 113, 200)]
+    assert toxicity.Scorer(net).scores(texts) == pytest.approx([score(t) for t in texts], abs=1e-4)
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEARNABLE", 40)
+    taken = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: taken.update(rows=list(zip(texts, labels))))
+    rows = [(i, f"text {i}") for i in range(400)] + [(1, "a text"), (1, "text 1")] * 50 + [(2, None), (3, "x" * 41), (3, "y" * 41)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(4, 7), (5, None)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    want = {i: (f"text {i}", i % 2) for i in ids} | ({1: ("a text", 1)} if 1 in ids else {}) | ({2: ("", 0)} if 2 in ids else {}) | ({4: ("text 4", 1)} if 4 in ids else {})
+    assert taken["rows"] == [want[i] for i in ids]
+    toxicity.fit(docs, labels, sample=20)
+    assert 10 < len(taken["rows"]) < 80
