@@ -42,6 +42,48 @@ def test_recall_against_brute_force(spark, scale):
     assert hit / (5 * len(want)) >= 0.9
 
 
+def scattered(n, seed=1):
+    """Vectors as the given ones are, near enough: no direction of 64 stands out by much."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, 64)) * np.linspace(1.25, 0.9, 64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("n", [50_000])
+def test_recall_and_work_where_windows_are_small(n):
+    """The search's windows in plain numpy: recall of the five nearest, and cosines a query."""
+    v, asked = scattered(n), np.arange(0, n, n // 200)
+    exact = v[asked] @ v.T
+    exact[np.arange(len(asked)), asked] = -2
+    want = np.argpartition(-exact, 5, axis=1)[:, :5]
+    half, block = curve_ann.window(n)
+    hit, work, seen = np.zeros(want.shape, bool), 0, np.zeros((len(asked), n), bool)
+    for c in range(curve_ann.CURVES):
+        order = np.argsort(curve_ann.Curve(c, 64).keys(v), kind="stable")
+        place = np.empty(n, int)
+        place[order] = np.arange(n)
+        at = place[asked]
+        low, high = np.maximum(at - half, 0) // block * block, (np.minimum(at + half, n) - 1) // block * block + block
+        hit |= (place[want] >= low[:, None]) & (place[want] < high[:, None])
+        work += np.minimum(high, n) - low
+        for i, (a, b) in enumerate(zip(low, high)):
+            seen[i, order[a:b]] = True
+    print(f"n={n}: recall {hit.mean():.3f}, cosines a query {work.mean() / n:.2f} n, rows seen {seen.mean():.2f}")
+    assert hit.mean() >= 0.9 and work.mean() < 0.7 * n and seen.mean() < 0.6
+
+
+def test_search_in_spark_where_windows_are_small(spark):
+    n = 12_000
+    v = scattered(n, 2)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in curve_ann.search(df, df.filter("vec_id % 200 = 0"), share=0.02, least=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    exact = v[::200] @ v.T
+    hits = sum(len(got[200 * i] & set(np.argsort(-np.where(np.arange(n) == 200 * i, -2, s))[:5].tolist())) for i, s in enumerate(exact))
+    assert hits >= 0.88 * 5 * len(exact)
+
+
 def test_copies_ties_and_rows_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     same = [(i, [1.0, 0.0, 0.0]) for i in range(0, 40)]

@@ -133,8 +133,9 @@ def test_reduction_keeps_the_optimum():
 def test_many_pieces_of_one_length_are_numbered_in_groups(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 10)
     df = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(700).cast("long").alias("length"), F.lit(1).cast("long").alias("ids_crc32"))
-    rows = packing.place(df).collect()
-    assert len({(r.sequence_id, r.offset) for r in rows}) == 100 and max(r.sequence_id for r in rows) == 49
+    for same in (df, df.withColumn("doc_id", F.lit(None).cast("long"))):  # an id that all rows share is dealt alike
+        rows = packing.place(same).collect()
+        assert len({(r.sequence_id, r.offset) for r in rows}) == 100 and max(r.sequence_id for r in rows) == 49
 
 
 def test_queries_on_the_smallest_tables(spark, sf):
