@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -221,13 +222,15 @@ class Agg(Expr):
     label: str
     build: Callable[..., Column]
     args: Sequence[Expr] = ()
+    typed: bool = False  # build also takes the arguments' types, after `over`
 
     def column(self, ctx: Context) -> Column:
         if ctx.kind == "row":
             raise ValueError(f"{self.label} is an aggregate; use it in summarize, mutate or transmute")
         over = (lambda c: c) if ctx.kind == "summarize" else (lambda c: c.over(ctx.window()))
         inner = Context(ctx.df, "row", None, ctx.scopes)
-        return self.build(over, *(a.column(inner) for a in self.args))
+        columns = [a.column(inner) for a in self.args]
+        return self.build(over, [inner.type(c) for c in columns], *columns) if self.typed else self.build(over, *columns)
 
 
 @dataclass(eq=False)
@@ -239,12 +242,15 @@ class Win(Expr):
     args: Sequence[Expr] = ()
     frame: str = "none"
     cast: str | None = None
+    typed: bool = False  # build takes the arguments' types first
 
     def column(self, ctx: Context) -> Column:
         if ctx.kind != "window":
             raise ValueError(f"{self.label} is a window function; use it in mutate or transmute")
         inner = Context(ctx.df, "row", None, ctx.scopes)
-        out = self.build(*(a.column(inner) for a in self.args)).over(ctx.window(frame=self.frame, ordered=True))
+        columns = [a.column(inner) for a in self.args]
+        made = self.build([inner.type(c) for c in columns], *columns) if self.typed else self.build(*columns)
+        out = made.over(ctx.window(frame=self.frame, ordered=True))
         return out.cast(self.cast) if self.cast else out
 
 
@@ -303,6 +309,39 @@ def stated(x) -> Expr:
     return Raw(x) if isinstance(x, str) else lift(x)
 
 
+def parts(e) -> list:
+    """The nodes of an expression tree."""
+    below = [*vars(e).get("args", ())]
+    if isinstance(e, (Forced, Desc)):
+        below += e.inner if isinstance(e.inner, (list, tuple)) else [e.inner]
+    return [e, *(x for b in below for x in parts(b))]
+
+
+def mentions(e: Expr, names) -> bool:
+    """Whether the expression may refer to one of the names; of SQL text each word counts."""
+    for x in parts(e):
+        if isinstance(x, Col) and (x.path in names or x.path.split(".")[0] in names):
+            return True
+        if isinstance(x, Raw) and any(n in str(x.value) for n in names):
+            return True
+    return False
+
+
+def aggregates(e: Expr, df: DataFrame) -> bool:
+    """Whether the expression holds an aggregate; SQL text and Spark Columns are asked of Spark's analysis."""
+    for x in parts(e):
+        if isinstance(x, (Agg, Forced)):
+            return True
+        if isinstance(x, Raw):
+            try:
+                plan = df.select(x.column(Context(df)))._jdf.queryExecution().analyzed()
+            except AnalysisException:  # an aggregate beside a bare column, or no valid expression, which is told later
+                return True
+            if plan.getClass().getSimpleName() == "Aggregate":
+                return True
+    return False
+
+
 def keys(items, ctx: Context) -> list[Column]:
     """Sort keys, nulls last in both directions. An integer is the place of a column, from 1."""
     out = []

@@ -53,8 +53,17 @@ def n() -> Expr:
     return Agg("n", lambda over: over(F.count(F.lit(1))))
 
 
+def _total(kinds: list[T.DataType], c: Column) -> Column:
+    """A sum; of 64-bit integers it has 128 bits, as decimal(38, 0)."""
+    return F.sum(c.cast(T.DecimalType(38, 0)) if isinstance(kinds[0], T.LongType) else c)
+
+
+def sum(x) -> Expr:  # noqa: A001
+    """Sum as an aggregate, or over the window in mutate; of 64-bit integers one of 128 bits, which does not overflow."""
+    return Agg("sum", lambda over, kinds, c: over(_total(kinds, c)), (named(x),), typed=True)
+
+
 mean = _agg("mean", F.avg)
-sum = _agg("sum", F.sum)  # noqa: A001
 minimum = min = _agg("minimum", F.min)  # noqa: A001
 maximum = max = _agg("maximum", F.max)  # noqa: A001
 std = _agg("std", F.stddev_samp)
@@ -156,7 +165,7 @@ def fn(name: str, *args) -> Expr:
 
 
 def cumsum(x) -> Expr:
-    return Win("cumsum", F.sum, (named(x),), "running")
+    return Win("cumsum", _total, (named(x),), "running", typed=True)
 
 
 def row_number() -> Expr:
@@ -268,7 +277,39 @@ def as_integer(x) -> Expr:
 
 
 def as_string(x) -> Expr:
-    return row(lambda c: c.cast("string"), x)
+    """Text of any value. Floating-point numbers are the shortest that read back, as 10000000000.0, 1e-05, 1e+16, inf."""
+
+    def build(ctx: Context, c: Column) -> Column:
+        if not isinstance(ctx.type(c), (T.DoubleType, T.FloatType)):
+            return c.cast("string")
+        # each step's result is bound by a list of one, so that none is computed for each place that it is used in
+        bound = lambda value, f: F.transform(F.array(value), f)[0]
+
+        def told(s: Column) -> Column:
+            """The cast may give more digits than the 16 or 17 that tell the number."""
+            size, out = F.length(F.regexp_replace(s, "E.*|[^0-9]", "")), F
+            for digits in (16, 17):
+                short = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+                out = out.when((size > digits) & (short.try_cast("double") == c.cast("double")), short)
+            return out.otherwise(s)
+
+        def shown(s: Column) -> Column:
+            whole, fraction, power = (F.regexp_extract(s, r"^-?(\d+)\.(\d+?)0*(?:[eE]([+-]?\d+))?$", i) for i in (1, 2, 3))
+            parts = F.struct(F.when(s.startswith("-"), "-").otherwise("").alias("sign"), whole.alias("w"), F.when(fraction == "0", "").otherwise(fraction).alias("f"), power.try_cast("int").alias("e"))
+            return F.when(s.rlike("[eE]"), bound(parts, spelled)).otherwise(s)
+
+        def spelled(p: Column) -> Column:
+            whole, fraction, e = p["w"], p["f"], p["e"]
+            digits, size, tall = F.concat(whole, fraction), F.length(fraction), F.abs(e).cast("string")
+            large = F.concat(F.rpad(F.substring(digits, F.lit(1), e + 1), e + 1, "0"), F.lit("."), F.when(size > e, F.substring(digits, e + 2, size)).otherwise("0"))
+            small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+            power = F.concat(whole, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(tall, F.greatest(F.lit(2), F.length(tall)), F.lit("0")))
+            return F.concat(p["sign"], F.when((e >= 16) | (e < -4), power).when(e < 0, small).otherwise(large))
+
+        finite = bound(bound(c.cast("string"), told), shown)
+        return F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(c > 0, "inf").otherwise("-inf")).otherwise(finite)
+
+    return Call(build, (named(x),))
 
 
 def absolute(x) -> Expr:

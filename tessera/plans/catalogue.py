@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import re
 from collections.abc import Callable
 from uuid import uuid4
@@ -13,19 +15,36 @@ from ..functions import helpers as f
 from ..functions.helpers import col, desc, lit, sql
 from ..operators.joins import closest
 from ..operators.selectors import across, contains, cols, ends_with, exclude, span, starts_with
-from ..sources.io import dt
+from ..sources.io import copy_to, drop_view, dt, read
 from ..table import Tbl
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+class Tables:
+    """tables(name) is a lazy table of the driver's."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def kept(self, suffix: str) -> str:
+        """A new path in the warehouse."""
+        return f"{self.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-{uuid4().hex}.{suffix}"
+
+    def __call__(self, name: str | list[str]) -> Tbl:
+        return dt(self.spark, self.path(name) if isinstance(name, str) else list(map(self.path, name)))
+
+
 def query(text: str | None = None):
-    """Registers a function of (table, spark), where table(name) is a lazy table of the driver's."""
+    """Registers a function of (tables, spark)."""
 
     def wrap(make):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            out = make(lambda name: dt(spark, f"{sf_dir}/{name}.parquet"), spark)
+            out = make(Tables(spark, sf_dir), spark)
             return out.df_now() if isinstance(out, Tbl) else out
 
         run.__name__ = make.__name__
@@ -180,6 +199,18 @@ def mutate_reuses_alias(t, s):
     return t("supplier").select("s_suppkey", "s_acctbal").mutate(twice=col("s_acctbal") * 2, more=col("twice") + 1).select("s_suppkey", "twice", "more")
 
 
+@query("SELECT p_partkey, p_size * 2 AS twice, max(p_size * 2) OVER (PARTITION BY p_brand) AS top, max(p_size * 2) OVER (PARTITION BY p_brand) - p_size * 2 AS below, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, p_size * 3 AS p_size FROM part")
+def mutate_windows_over_aliases(t, s):
+    new = t("part").mutate(twice=col("p_size") * 2, p_size=col("p_size") * 3, top=f.maximum("twice"), below=col("top") - col("twice"), r=f.rank(), _by="p_brand", _order="p_size", _frame=(None, None))
+    return new.select("p_partkey", "twice", "top", "below", "r", "p_size")
+
+
+@query("SELECT s_suppkey, CAST(CAST(s_suppkey AS DOUBLE) * 10000000 AS VARCHAR) AS a, CAST(CAST(s_suppkey AS DOUBLE) * 1e17 AS VARCHAR) AS b, CAST(CAST(s_suppkey AS DOUBLE) / 1048576 / 1024 AS VARCHAR) AS c, CAST(-s_acctbal AS VARCHAR) AS d, CAST(CAST(s_suppkey AS FLOAT) / 4 AS VARCHAR) AS e FROM supplier")
+def mutate_text_of_numbers(t, s):
+    x = sql("double(s_suppkey)")
+    return t("supplier").transmute(s_suppkey="s_suppkey", a=f.as_string(x * 10000000), b=f.as_string(x * 1e17), c=f.as_string(x / 1048576 / 1024), d=f.as_string(-col("s_acctbal")), e=f.as_string(sql("float(s_suppkey) / float(4)")))
+
+
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_size > 20 THEN 'medium' ELSE 'small' END AS class, CASE WHEN p_size > 40 THEN 1 END AS flag FROM part")
 def mutate_case_when(t, s):
     return t("part").transmute(p_partkey="p_partkey", **{"class": f.case_when((col("p_size") > 40, "large"), (col("p_size") > 20, "medium"), "small")}, flag=f.case_when(col("p_size") > 40, 1))
@@ -290,10 +321,50 @@ def agg_by_other(t, s):
     return t("events").summarize(latest=f.max_by("event_type", "event_id"), earliest=f.min_by("event_type", "event_id"), any_high=f.bool_or(col("value") > 100), high=f.count_if(col("value") > 50), _by="user_id")
 
 
-@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+@query("SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS names, CAST(len(list(n_name)) AS BIGINT) AS k FROM nation GROUP BY n_regionkey")
 def agg_string(t, s):
-    names = f.row(lambda c: F.array_join(F.array_sort(c), "|"), f.collect_list("n_name"))
-    return t("nation").summarize(names=names, _by="n_regionkey")
+    names = f.row(lambda c: F.array_join(F.array_sort(F.split(c, "[|]")), "|"), f.string_agg("n_name", "|"))
+    return t("nation").summarize(names=names, k=f.row(lambda c: F.size(c).cast("long"), f.collect_list("n_name")), _by="n_regionkey")
+
+
+@query("SELECT l_returnflag, CAST(sum(l_orderkey * 20000000000000) AS VARCHAR) AS total, CAST(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
+def agg_wide_sum(t, s):
+    return t("lineitem").summarize(total=f.as_string(f.sum(col("l_orderkey") * 20000000000000)), lines=f.sum("l_linenumber"), _by="l_returnflag")
+
+
+@query("SELECT o_orderkey, CAST(sum(o_orderkey * 400000000000000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS running FROM orders")
+def win_wide_cumsum(t, s):
+    return t("orders").mutate(running=f.as_string(f.cumsum(col("o_orderkey") * 400000000000000)), _by="o_custkey", _order="o_orderkey").select("o_orderkey", "running")
+
+
+@query("SELECT l_returnflag, first(l_returnflag) AS a, last(l_returnflag) AS b, any_value(nullif(l_returnflag, 'N')) AS v, mode(l_linestatus) AS m, CAST(count(nullif(l_linenumber, 1)) AS BIGINT) AS k FROM lineitem GROUP BY l_returnflag")
+def agg_first_last_mode(t, s):
+    return t("lineitem").summarize(a=f.first("l_returnflag"), b=f.last("l_returnflag"), v=f.any_value(f.missing_if("l_returnflag", "N")), m=f.mode("l_linestatus"), k=f.count(f.missing_if("l_linenumber", 1)), _by="l_returnflag")
+
+
+@query("SELECT DISTINCT l_returnflag, TRUE AS near, TRUE AS some FROM lineitem")
+def agg_approximate(t, s):
+    """Approximations are held to a bound: both sides must hold it."""
+    share = f.approx_distinct("l_partkey") / f.n_distinct("l_partkey")
+    near = f.row(lambda a, b: F.abs(a - b) < 3, f.approx_quantile("l_quantity", 0.3), f.quantile("l_quantity", 0.3))
+    return t("lineitem").summarize(near=near, some=(share > 0.85) & (share < 1.15), _by="l_returnflag")
+
+
+@query("""SELECT o_orderstatus, bit_and(o_orderkey) AS a, bit_or(o_orderkey) AS o, bit_xor(o_orderkey) AS x, bool_and(o_totalprice > 0) AS pos, CAST(regr_count(o_totalprice, o_custkey) AS BIGINT) AS n,
+round(regr_avgx(o_totalprice, o_custkey), 4) AS ax, round(regr_avgy(o_totalprice, o_custkey), 4) AS ay, round(covar_pop(o_totalprice, o_custkey) / 1000, 3) AS cov, round(stddev_pop(o_totalprice), 4) AS sd, round(regr_intercept(o_totalprice, o_custkey), 3) AS ic FROM orders GROUP BY o_orderstatus""")
+def agg_more(t, s):
+    y, x, r = "o_totalprice", "o_custkey", f.round
+    return t("orders").summarize(a=f.bit_and("o_orderkey"), o=f.bit_or("o_orderkey"), x=f.bit_xor("o_orderkey"), pos=f.bool_and(col(y) > 0), n=f.regr_count(y, x), ax=r(f.regr_avgx(y, x), 4), ay=r(f.regr_avgy(y, x), 4), cov=r(f.covar_pop(y, x) / 1000, 3), sd=r(f.stddev_pop(y), 4), ic=r(f.regr_intercept(y, x), 3), _by="o_orderstatus")
+
+
+@query("SELECT o_orderstatus AS st, year(o_orderdate) AS y, max(o_totalprice) AS top, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL")
+def group_by_all_with_sql(t, s):
+    return t("orders").group_by("all").summarize(st=col("o_orderstatus"), y=sql("bigint(year(o_orderdate))"), top=sql("max(o_totalprice)"), n=f.row(lambda c: c, sql("count(1)")))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())")
+def agg_grouping_sets(t, s):
+    return t("orders").grouping_sets([["o_orderstatus"], ["o_orderpriority"], ["o_orderstatus", "o_orderpriority"], []], n=f.n())
 
 
 @query("SELECT o_orderstatus, o_orderpriority, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
@@ -366,6 +437,12 @@ def win_forced_agg(t, s):
     return t("part").mutate(med=f.agg(sql("median(p_size)")), kinds=f.n_distinct("p_type"), _by="p_brand").select("p_partkey", "med", "kinds")
 
 
+@query("SELECT p_partkey, bool_or(p_size > 49) OVER (PARTITION BY p_brand) AS big FROM part")
+def win_registered(t, s):
+    f.register_window_fn("bool_or")
+    return t("part").mutate(big=f.fn("bool_or", col("p_size") > 49), _by="p_brand").select("p_partkey", "big")
+
+
 # joins
 
 
@@ -394,9 +471,9 @@ def join_semi(t, s):
     return t("customer").semi_join(t("orders").filter(col("o_totalprice") > 250000), "c_custkey == o_custkey")
 
 
-@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT * FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 def join_anti(t, s):
-    return t("customer").anti_join(t("orders"), "c_custkey == o_custkey")
+    return t("customer").anti_join(t("orders").filter(col("o_totalprice") > 250000), "c_custkey == o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -438,6 +515,32 @@ def join_asof_next(t, s):
     return _clicks(t, "purchase").inner_join(_clicks(t, "click"), "user_id", "closest(ts < ts)").select("user_id", "event_id", "event_id_1")
 
 
+@query(f"SELECT coalesce(l.user_id, r.user_id) AS user_id, l.event_id, r.event_id AS event_id_1, r.ts AS ts_1 FROM {_clicks_sql('purchase')} l ASOF RIGHT JOIN {_clicks_sql('click')} r ON l.user_id = r.user_id AND l.ts >= r.ts")
+def join_asof_right(t, s):
+    return _clicks(t, "purchase").right_join(_clicks(t, "click"), "user_id", closest("ts >= ts")).select("user_id", "event_id", "event_id_1", "ts_1")
+
+
+@query(f"SELECT coalesce(l.user_id, r.user_id) AS user_id, l.event_id, r.event_id AS event_id_1 FROM {_clicks_sql('purchase')} l ASOF FULL JOIN {_clicks_sql('click')} r ON l.user_id = r.user_id AND l.ts > r.ts")
+def join_asof_full(t, s):
+    return _clicks(t, "purchase").full_join(_clicks(t, "click"), "user_id", closest("ts > ts"), hint="skew").select("user_id", "event_id", "event_id_1")
+
+
+@query(f"SELECT l.user_id, l.ts, l.event_id FROM {_clicks_sql('purchase')} l WHERE EXISTS (SELECT 1 FROM {_clicks_sql('click')} r WHERE l.user_id = r.user_id AND l.ts <= r.ts)")
+def join_asof_semi(t, s):
+    return _clicks(t, "purchase").semi_join(_clicks(t, "click"), "user_id", closest("ts <= ts")).select("user_id", "ts", "event_id")
+
+
+@query(f"SELECT l.user_id, l.ts, l.event_id FROM {_clicks_sql('purchase')} l WHERE NOT EXISTS (SELECT 1 FROM {_clicks_sql('click')} r WHERE l.user_id = r.user_id AND l.ts <= r.ts)")
+def join_asof_anti(t, s):
+    return _clicks(t, "purchase").anti_join(_clicks(t, "click"), "user_id", closest("ts <= ts"), hint="skew").select("user_id", "ts", "event_id")
+
+
+@query(f"SELECT l.ts, l.event_id, r.event_id AS event_id_1 FROM (SELECT ts, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY ts) l ASOF LEFT JOIN (SELECT ts, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY ts) r ON l.ts >= r.ts")
+def join_asof_one_key(t, s):
+    side = lambda kind: t("events").filter(col("event_type") == kind).summarize(event_id=f.minimum("event_id"), _by="ts")
+    return side("purchase").left_join(side("click"), closest("ts >= ts")).select("ts", "event_id", "event_id_1")
+
+
 @query("SELECT c_nationkey, customers, suppliers FROM (SELECT c_nationkey, CAST(count(*) AS BIGINT) AS customers FROM customer GROUP BY 1) JOIN (SELECT s_nationkey, CAST(count(*) AS BIGINT) AS suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey")
 def join_of_aggregates(t, s):
     left = t("customer").summarize(customers=f.n(), _by="c_nationkey")
@@ -510,15 +613,17 @@ def head_is_deferred(t, s):
     return t("orders").select("o_orderkey", "o_orderstatus").arrange(1).head(5).filter(col("o_orderstatus") == "F")
 
 
-@query()
+@query("SELECT o_orderpriority, CAST(least(count(*), 2) AS BIGINT) AS n, CAST(least(count(*), 2) AS BIGINT) AS orders, CAST(least(count(*), 2) AS BIGINT) AS last FROM orders GROUP BY o_orderpriority")
 def slice_sample(t, s):
-    return t("orders").slice_sample(n=2, _by="o_orderpriority", seed=1)
+    """The sample differs with the seed; that it is so many different rows of each group's own does not."""
+    some = t("orders").slice_sample(n=2, _by="o_orderpriority", seed=1).semi_join(t("orders"), "o_orderkey", "o_orderpriority", "o_totalprice")
+    return some.summarize(n=f.n(), orders=f.n_distinct("o_orderkey"), last=f.maximum("row_num"), _by="o_orderpriority")
 
 
 # shape
 
 
-@query("PIVOT (SELECT o_orderpriority, o_orderstatus, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY ALL) ON o_orderstatus USING any_value(n) GROUP BY o_orderpriority")
+@query("SELECT o_orderpriority, CAST(any_value(n) FILTER (o_orderstatus = 'F') AS BIGINT) AS \"F\", CAST(any_value(n) FILTER (o_orderstatus = 'O') AS BIGINT) AS \"O\", CAST(any_value(n) FILTER (o_orderstatus = 'P') AS BIGINT) AS \"P\" FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) GROUP BY o_orderpriority")
 def pivot_wider(t, s):
     return t("orders").summarize(n=f.n(), _by=["o_orderpriority", "o_orderstatus"]).pivot_wider("o_orderstatus", "n")
 
@@ -621,6 +726,18 @@ def map_lookup(t, s):
     return t("part").mutate(m=m).transmute(p_partkey="p_partkey", v=f.if_else(col("p_size") > 25, col("m")["size"], col("m")["price"]))
 
 
+@query("SELECT o_orderkey, o_custkey AS a, o_orderstatus AS b FROM orders WHERE o_custkey % 2 = 0")
+def struct_fields(t, s):
+    made = t("orders").transmute(o_orderkey="o_orderkey", x=sql("named_struct('a', o_custkey, 'b', o_orderstatus)"))
+    return made.filter(col("x.a") % 2 == 0).transmute(o_orderkey="o_orderkey", a=col("x.a"), b=col("x").field("b"))
+
+
+@query("SELECT p_partkey, p_partkey AS a, CAST(p_size AS BIGINT) AS b, CAST(NULL AS BIGINT) AS c FROM part")
+def array_elements(t, s):
+    made = t("part").mutate(xs=f.make_array("p_partkey", sql("bigint(p_size)")))
+    return made.transmute(p_partkey="p_partkey", a=col("xs")[1], b=col("xs")[2], c=col("xs")[3])
+
+
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(t, s):
     return t("events").transmute(event_id="event_id", k=f.json_value("props", "$.k", "bigint"))
@@ -641,9 +758,26 @@ def udf_vectorized(t, s):
 # catalog and files
 
 
-@query()
+def _summary_sql(table: str, numbers: list[str], texts: list[str]) -> str:
+    one = "SELECT '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, {avg} AS avg, {std} AS std, CAST(count(*) AS BIGINT) AS count, CAST(0 AS DOUBLE) AS null_percentage FROM {t}"
+    parts = [one.format(c=c, t=table, avg=f"round(avg({c}), 6)", std=f"round(stddev_samp({c}), 6)") for c in numbers]
+    return " UNION ALL ".join(parts + [one.format(c=c, t=table, avg="CAST(NULL AS DOUBLE)", std="CAST(NULL AS DOUBLE)") for c in texts])
+
+
+@query(_summary_sql("part", ["p_partkey", "p_size", "p_retailprice"], ["p_name", "p_brand", "p_type"]))
 def summary_stats(t, s):
-    return t("lineitem").summary()
+    exact = t("part").summary().select("column_name", "min", "max", "avg", "std", "count", "null_percentage")
+    return exact.mutate(avg=f.round("avg", 6), std=f.round("std", 6))
+
+
+@query("SELECT column_name, near FROM (VALUES ('l_orderkey', TRUE), ('l_quantity', TRUE), ('l_tax', TRUE)) v(column_name, near)")
+def summary_estimates(t, s):
+    """Quartiles and counts of distinct values are estimates: they are held to the exact ones."""
+    few = t("lineitem").select("l_orderkey", "l_quantity", "l_tax")
+    exact = few.pivot_longer("l_orderkey:l_tax").summarize(median=f.median("value"), spread=f.std("value"), kinds=f.n_distinct("value"), _by="variable")
+    both = few.summary().inner_join(exact, "column_name == variable")
+    near = (f.row(lambda a, b, c: F.abs(a.cast("double") - b) <= c / 10, "q50", "median", "spread")) & f.row(lambda a, b: F.abs(a / b - 1) < 0.15, "approx_unique", "kinds")
+    return both.transmute(column_name="column_name", near=near)
 
 
 @query("SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 1")
@@ -659,8 +793,79 @@ def table_roundtrip(t, s):
     return dt(s, name)
 
 
+def _roundtrip(t, suffix: str) -> Tbl:
+    path = t.kept(suffix)
+    t("supplier").select("s_suppkey", "s_name", "s_acctbal").write_file(path)
+    return dt(t.spark, path).select("s_suppkey", "s_name", "s_acctbal")
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def write_read_roundtrip(t, s):
-    path = f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tessera-{uuid4().hex}.csv"
-    t("supplier").select("s_suppkey", "s_name", "s_acctbal").write_file(path)
-    return dt(s, path)
+    return _roundtrip(t, "csv")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def write_read_json(t, s):
+    return _roundtrip(t, "json")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def write_read_tsv(t, s):
+    return _roundtrip(t, "tsv")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def write_read_parquet(t, s):
+    return _roundtrip(t, "parquet")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def read_glob(t, s):
+    return t("regi*")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation")
+def read_several_paths(t, s):
+    return t(["nation", "nation"]).select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def read_explicitly(t, s):
+    return read(s, "parquet", t.path("nation"), mergeSchema="true").filter(col("data.n_regionkey") == 1).select("n_nationkey", "n_name")
+
+
+@query("SELECT id, name, n_regionkey FROM (VALUES (CAST(0 AS BIGINT), 'a'), (CAST(1 AS BIGINT), 'b'), (CAST(9 AS BIGINT), 'c')) v(id, name) LEFT JOIN (SELECT DISTINCT n_regionkey FROM nation) ON id = n_regionkey")
+def frame_in_memory(t, s):
+    import pandas as pd
+
+    own = dt(s, pd.DataFrame({"id": [0, 1, 9], "name": ["a", "b", "c"]}), "tessera_own", alias="own")
+    return own.left_join(t("nation").distinct("n_regionkey").mutate(k=col("n_regionkey")), "own.id == k").select("id", "name", "n_regionkey")
+
+
+@query("SELECT n_regionkey, CAST(count(*) AS BIGINT) AS n FROM nation GROUP BY n_regionkey")
+def collected(t, s):
+    """Results on the driver, as a frame and as a stream of rows."""
+    counts = t("nation").summarize(n=f.n(), _by="n_regionkey")
+    frame, streamed = counts.collect(), [(r.n_regionkey, r.n) for r in counts.collect(stream=True)]
+    if sorted(zip(frame.n_regionkey, frame.n)) != sorted(streamed):
+        raise AssertionError("the stream's rows are not the frame's")
+    return s.createDataFrame(streamed, "n_regionkey int, n long")
+
+
+@query("SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > 1000")
+def copied_table(t, s):
+    rich = t("supplier").filter(col("s_acctbal") > 1000).select("s_suppkey", "s_acctbal")
+    return copy_to(s, rich.df_now(), f"tessera_rich_{uuid4().hex}")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def view_dropped(t, s):
+    name = f"tessera_gone_{uuid4().hex}"
+    t("region").create_view(name)
+    if not drop_view(s, name) or s.catalog.tableExists(name):
+        raise AssertionError("the view is still there")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        shown = t("region").select("r_regionkey", "r_name").show_query()
+    if "select" not in out.getvalue():
+        raise AssertionError("the verbs are not shown")
+    return shown

@@ -12,11 +12,15 @@ from pyspark.sql import types as T
 
 from . import options
 from .functions import helpers
-from .functions.expr import Col, Context, Expr, keys, quoted, stated
+from .functions.expr import Col, Context, Expr, aggregates, keys, mentions, parts, quoted, stated
 from .operators import joins, reshape, windows
 from .operators.selectors import Across, resolve
 
 
+#: Aggregates whose states grow with the values that they have seen.
+LARGE = {"median", "quantile", "approx_quantile", "mode", "collect_list", "string_agg"}
+
+
 def _q(name: str) -> Column:
     return F.col(quoted(name))
 
@@ -141,16 +145,19 @@ class Tbl:
             warnings.warn(f"{verb} consumes the groups, window order and frame set before", stacklevel=3)
         order = self.worder if order is None else order if isinstance(order, (list, tuple)) else (order,)
         frame = self.wframe if frame is None else windows.frame_of(frame)
-        ctx = self._ctx("window", groups, order, frame)
-        names = self.df.columns
-        made = {}
-        for k, e in exprs.items():
-            made[k] = stated(e).column(ctx).alias(k)
-        if keep:
-            cols = [made[c] if c in made else _q(c) for c in names] + [c for k, c in made.items() if k not in names]
-        else:
-            cols = [_q(g) for g in groups if g not in made] + list(made.values())
-        return self._next(verb, self.df.select(*cols), groups=(), worder=(), wframe=None)
+        names, df = self.df.columns, self.df
+        made: dict[str, str] = {}  # the column that holds each result until the end
+        pending: dict[str, Column] = {}
+        for i, (k, e) in enumerate(exprs.items()):
+            e = stated(e)
+            if mentions(e, pending):  # a new column of this call: it is made first, whatever uses it
+                df, pending = df.select("*", *pending.values()), {}
+            made[k] = f"__m{i}" if k in names else k  # an old column keeps its value for the rest of the call
+            pending[made[k]] = e.column(self._ctx("window", groups, order, frame, df)).alias(made[k])
+        df = df.select("*", *pending.values())
+        cols = [_q(made.get(c, c)).alias(c) for c in names] if keep else [_q(g) for g in groups if g not in made]
+        cols += [_q(m).alias(k) for k, m in made.items() if not keep or k not in names]
+        return self._next(verb, df.select(*cols), groups=(), worder=(), wframe=None)
 
     def mutate(self, *args, _by=None, _order=None, _frame=None, **named) -> Tbl:
         """New columns, or old ones replaced in place; aggregates are windows over _by, _order and _frame. A new column
@@ -210,7 +217,7 @@ class Tbl:
         # the random number is a column first: ranking over it alone lets each task keep n rows a group before the shuffle
         w = windows.spec(groups, [F.col("__r").asc()], None)
         df = self.df.withColumn("__r", F.rand(seed)).withColumn("row_num", F.row_number().over(w)).filter(F.col("row_num") <= n)
-        return self._next("slice_sample", df.drop("__r"), groups=())
+        return self._next("slice_sample", df.drop("__r").withColumn("row_num", F.col("row_num").cast("long")), groups=())
 
     # groups
 
@@ -234,25 +241,41 @@ class Tbl:
         exprs = self._exprs(args, named)
         ctx = self._ctx("summarize")
         if _by == "all" or self.groups == ("all",):
-            row, group = {}, []
-            for k, e in exprs.items():
-                try:
-                    row[k] = stated(e).column(self._ctx())
-                    group.append(k)
-                except ValueError:
-                    continue
-            df = self.df.groupBy(*[row[k].alias(k) for k in group]).agg(*[stated(e).column(ctx).alias(k) for k, e in exprs.items() if k not in group])
+            group = [k for k, e in exprs.items() if not aggregates(stated(e), self.df)]
+            by = [stated(exprs[k]).column(self._ctx()).alias(k) for k in group]
+            made = [stated(e).column(ctx).alias(k) for k, e in exprs.items() if k not in group]
+            df = self.df.groupBy(*by).agg(*made) if made else self.df.select(*by).distinct()
             return self._next("summarize", df.select(*map(_q, exprs)), groups=())
         groups = self._by(_by)
-        made = [stated(e).column(ctx).alias(k) for k, e in exprs.items()]
-        if made:
-            df = self.df.groupBy(*map(_q, groups)).agg(*made)
-        else:
+        apart = {k for k, e in exprs.items() if any(vars(x).get("label") == "n_distinct" for x in parts(stated(e)))}
+        if not exprs:
             df = self.df.select(*map(_q, groups)).distinct()
+        elif apart and any(vars(x).get("label") in LARGE for k, e in exprs.items() if k not in apart for x in parts(stated(e))):
+            df = self._apart(exprs, groups, apart, ctx)
+        else:
+            df = self.df.groupBy(*map(_q, groups)).agg(*[stated(e).column(ctx).alias(k) for k, e in exprs.items()])
         return self._next("summarize", df, groups=(), worder=(), wframe=None)
 
     summarise = summarize
 
+    def _apart(self, exprs: dict, groups: tuple[str, ...], apart: set[str], ctx: Context) -> DataFrame:
+        """Counts of distinct values by themselves, joined to the other aggregates: in one aggregation the large states
+        of the others would be kept, and shuffled, once for each distinct value."""
+        own = {k: stated(e).column(ctx).alias(k) for k, e in exprs.items()}
+        rest = self.df.groupBy(*map(_q, groups)).agg(*[c for k, c in own.items() if k not in apart])
+        counts = self.df.groupBy(*[_q(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(*[own[k] for k in apart])
+        if not groups:
+            return rest.crossJoin(counts).select(*map(_q, exprs))  # one row each
+        on = [_q(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
+        return rest.join(counts, on).select(*map(_q, [*groups, *exprs]))
+
+    def grouping_sets(self, sets, **named) -> Tbl:
+        """Aggregates for each of several lists of columns, in one table; columns that a set lacks are null in its rows."""
+        ctx, picked = self._ctx("summarize"), [self._pick(x) if x else [] for x in sets]
+        names = list(dict.fromkeys(c for x in picked for c in x))
+        df = self.df.groupingSets([list(map(_q, x)) for x in picked], *map(_q, names)).agg(*[stated(e).column(ctx).alias(k) for k, e in named.items()])
+        return self._next("grouping_sets", df, groups=())
+
     def rollup(self, *columns: str, **named) -> Tbl:
         return self._grouping("rollup", columns, named)
 

@@ -242,7 +242,7 @@ def test_duplicate_names_self_joins_and_qualified_columns(spark, doc):
     assert none.inner_join(none, "k").df_now().count() == 0
 
 
-@pytest.mark.parametrize("hint", [None, "skew"])
+@pytest.mark.parametrize("hint", ["even", "skew"])
 @pytest.mark.parametrize("op", ["<", "<=", ">", ">="])
 @pytest.mark.parametrize("how", ["left", "inner", "right", "full", "semi", "anti"])
 def test_asof_matches_brute_force(spark, op, how, hint):
@@ -266,6 +266,32 @@ def test_asof_matches_brute_force(spark, op, how, hint):
     assert srows(got) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("how", ["left", "full"])
+def test_asof_deals_a_hot_key_and_a_common_null(spark, how):
+    """One user has most rows and a third have none: no task of the ordered pass gets them all."""
+    a = make(spark, [(i, [1, 1, None, 2 + i % 5][i % 4], i) for i in range(4000)], "i int, g int, k int")
+    b = make(spark, [(i, 1 if i % 3 else None, i * 3) for i in range(1000)], "j int, g int, q int")
+    got = {r.i: r.j for r in getattr(a, f"{how}_join")(b, "g", closest("k >= q"), hint="skew").df_now().filter("i is not null").collect()}
+    for i, g, k in [(i, [1, 1, None, 2 + i % 5][i % 4], i) for i in range(4000)]:
+        last = min(999, k // 3)
+        assert got[i] == ((last if last % 3 else last - 1) if g == 1 and last else None)
+    plan = a.left_join(b, "g", closest("k >= q"), hint="skew").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "__p" in plan and "scalar-subquery" in plan
+
+
+def test_asof_is_lazy_and_cut_by_size(spark, monkeypatch, tmp_path):
+    from tessera.operators import joins
+
+    make(spark, [(i, 1, i) for i in range(50)], "i int, g int, k int").df.write.parquet(f"{tmp_path}/a")
+    a = dt(spark, spark.read.parquet(f"{tmp_path}/a"))
+    b = a.rename(j="i", q="k")
+    small = a.left_join(b, "g", closest("k > q")).df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(joins, "ONE_TASK", 10)
+    large = a.left_join(b, "g", closest("k > q")).df._jdf.queryExecution().optimizedPlan().toString()
+    even = a.left_join(b, "g", closest("k > q"), hint="even").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" not in small + even and "scalar-subquery" in large
+
+
 def test_asof_without_equal_keys(spark):
     a = make(spark, [(i, i * 3 % 50) for i in range(40)], "i int, k int")
     b = make(spark, [(i, i * 7) for i in range(1, 6)], "j int, q int").mutate(q=f.sql("timestamp_ntz '2024-01-01' + make_dt_interval(q)"))
@@ -338,7 +364,7 @@ def test_files_views_and_tables(spark, doc, tmp_path):
     for kind in ("csv", "tsv", "parquet", "json", "orc"):
         path = f"{tmp_path}/my-file.{kind}"
         doc.write_file(path)
-        back = dt(spark, path, **({"multiLine": False} if kind == "json" else {}))
+        back = dt(spark, path)
         assert srows(back.select("id", "groups", "value", "percent")) == srows(doc), kind
         assert "my_file" in back.scopes
     many = dt(spark, [f"{tmp_path}/my-file.csv", f"{tmp_path}/my-file.csv"])
@@ -356,8 +382,10 @@ def test_files_views_and_tables(spark, doc, tmp_path):
     import pyarrow as pa
     from pyarrow import feather
 
-    feather.write_feather(pa.table({"a": [1, 2]}), f"{tmp_path}/x.arrow")
-    assert rows(dt(spark, f"{tmp_path}/x.arrow")) == [(1,), (2,)]
+    for name, values in (("x", [1, 2]), ("y", [3])):
+        feather.write_feather(pa.table({"a": values, "b": ["t"] * len(values)}), f"{tmp_path}/{name}.arrow")
+    assert rows(dt(spark, f"{tmp_path}/x.arrow")) == [(1, "t"), (2, "t")]
+    assert srows(dt(spark, f"{tmp_path}/*.arrow").select("a")) == [(1,), (2,), (3,)]
     spark.sql("drop table t1")
     spark.sql("drop table t2")
 
@@ -401,3 +429,158 @@ def test_plans_push_down_and_stay_in_the_jvm(spark, sf):
     assert "WindowGroupLimit" in top.df._jdf.queryExecution().executedPlan().toString()
     head = dt(spark, f"{sf}/orders.parquet").arrange("o_totalprice").head(3)
     assert "TakeOrderedAndProject" in head.df_now()._jdf.queryExecution().executedPlan().toString()
+
+
+# what the reference's dialect does beside Spark's
+
+
+def test_windows_over_new_columns(doc):
+    t = doc.mutate(double=col("value") * 2, top=f.maximum("double"), share=col("double") / col("top"), value=col("value") + 100, old=col("value"), _by="groups")
+    got = t.df_now().collect()
+    assert t.columns == ["id", "groups", "value", "percent", "double", "top", "share", "old"]
+    for r in got:  # an old column keeps its value for the rest of the call
+        assert r.value == r.old + 100 and r.double == 2 * r.old and r.top == 10 and r.share == r.double / 10
+    assert rows(doc.transmute(a="value * 2", b=f.sum("a"), c="b + a").head(1))[0][1:] == (60, 62)
+    assert srows(doc.mutate(n=f.n(), m=f.sql("n * 2"), _by="groups").distinct("n", "m")) == [(5, 10)]
+
+
+def test_sums_have_128_bits(spark):
+    t = make(spark, [(1 << 62, 7)] * 3, "x long, y int")
+    assert rows(t.summarize(s=f.sum("x"), t=f.as_string(f.sum("x")), y=f.sum("y"))) == [(3 << 62, str(3 << 62), 21)]
+    assert [int(r[0]) for r in rows(t.transmute(s=f.cumsum("x")))] == [1 << 62, 2 << 62, 3 << 62]
+    assert t.summarize(y=f.sum("y")).schema[0].dataType.simpleString() == "bigint"
+
+
+def test_text_of_numbers(spark):
+    values = [0.0, -0.0, 1.0, 0.1, 1e10, 1e-5, 1e-4, 9.5e-5, 1e15, 1e16, 1e22, -2.5e-7, 123456789.125, 5.960464477539063e-08, float("inf"), float("-inf"), 1.7976931348623157e308, 1234567.5, 12345678.0]
+    t = make(spark, [(i, x) for i, x in enumerate([*values, float("nan"), None])], "i int, x double")
+    got = dict(rows(t.transmute(i="i", s=f.as_string("x"))))
+    assert [got[i] for i in range(len(got))] == [*map(repr, values), "nan", None]
+    assert rows(make(spark, [(True, 5)], "b boolean, n int").transmute(b=f.as_string("b"), n=f.as_string("n"))) == [("true", "5")]
+
+
+def test_group_by_all_asks_for_aggregates(spark, doc):
+    want = [("aa", 15), ("bb", 15)]
+    for total in (f.sum("value"), f.sql("sum(value)"), f.sql("15 + sum(value) - 15"), F.sum("value")):
+        got = doc.mutate(id="upper(id)").summarize(g=col("groups"), s=total, _by="all")
+        assert srows(got) == want
+    assert srows(doc.group_by("all").summarize(g="upper(groups)")) == [("AA",), ("BB",)]
+
+
+def test_distinct_counts_stand_apart_from_large_states(spark):
+    t = make(spark, [(None, 1, 1.0), (None, 1, 2.0), (1, 2, 5.0), (1, 3, 7.0), (1, 3, 9.0)], "g int, k int, x double")
+    assert srows(t.summarize(m=f.median("x"), k=f.n_distinct("k"), n=f.n(), _by="g")) == [(1, 7.0, 2, 3), (None, 1.5, 1, 2)]
+    assert rows(t.summarize(k=f.n_distinct("k"), m=f.median("x"))) == [(3, 5.0)]
+    assert "Expand" not in t.summarize(m=f.median("x"), k=f.n_distinct("k"), _by="g").df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grouping_sets(spark):
+    t = make(spark, [("a", 1), ("a", 2), ("b", 1)], "x string, y int")
+    assert srows(t.grouping_sets([["x"], ["y"], []], n=f.n())) == sorted([("a", None, 2), ("b", None, 1), (None, 1, 2), (None, 2, 1), (None, None, 3)], key=repr)
+
+
+# more sources
+
+
+def test_json_of_each_form(spark, tmp_path):
+    for name, text, n in (("lines", '\n{"a": 1}\n{"a": 2}\n', 2), ("array", '[\n {"a": 1},\n {"a": 2}, {"a": 3}]', 3), ("one", '{\n "a": 1\n}', 1), ("flat", '{"a": 1}', 1)):
+        (tmp_path / f"{name}.json").write_text(text)
+        assert dt(spark, f"{tmp_path}/{name}.json").df_now().count() == n, name
+    assert dt(spark, [f"{tmp_path}/lines.json", f"{tmp_path}/flat.json"]).df_now().count() == 3
+
+
+def test_web_addresses(spark, tmp_path, monkeypatch):
+    import functools
+    import http.server
+    import threading
+
+    from tessera.sources import io
+
+    (tmp_path / "a.csv").write_text("x,y\n1,p\n2,q\n")
+    (tmp_path / "b.csv").write_text("x,y\n3,r\n")
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_address[1]}"
+    try:
+        one = dt(spark, f"{base}/a.csv?raw=1")
+        assert srows(one) == [(1, "p"), (2, "q")] and one.scopes.keys() == {"a"}
+        assert srows(dt(spark, [f"{base}/a.csv", f"{base}/b.csv"]).select("x")) == [(1,), (2,), (3,)]
+        monkeypatch.setattr(io, "sheet_url", lambda url: f"{base}/b.csv")
+        assert rows(dt(spark, "https://docs.google.com/spreadsheets/d/KEY/edit#gid=7")) == [(3, "r")]
+    finally:
+        server.shutdown()
+    monkeypatch.undo()
+    assert io.sheet_url("https://docs.google.com/spreadsheets/d/KEY/edit?usp=sharing#gid=7") == "https://docs.google.com/spreadsheets/d/KEY/export?format=csv&gid=7"
+
+
+def test_database_files(spark, tmp_path):
+    import duckdb
+    from tessera import attach
+
+    with duckdb.connect(f"{tmp_path}/x.duckdb") as c:
+        c.execute("CREATE TABLE first AS SELECT range AS i, 'r' || range AS s FROM range(5)")
+        c.execute("CREATE TABLE second AS SELECT 1 AS k")
+    got = attach(spark, f"{tmp_path}/x.duckdb")
+    assert got.keys() == {"first", "second"} and got["first"].filter(col("i") > 2).df_now().count() == 2
+    assert rows(dt(spark, "second")) == [(1,)] and attach(spark, f"{tmp_path}/x.duckdb", "first").keys() == {"first"}
+
+
+@pytest.fixture
+def connectors(spark):
+    """Stand-ins for connectors, which tell the options that they are given."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader
+
+    def source(kind):
+        class Told(DataSource):
+            @classmethod
+            def name(cls):
+                return kind
+
+            def schema(self):
+                return "option string, value string"
+
+            def reader(self, schema):
+                options = dict(self.options)
+
+                class Reader(DataSourceReader):
+                    def read(self, partition):
+                        yield from sorted(options.items())
+
+                return Reader()
+
+        return Told
+
+    for kind in ("bigquery", "snowflake", "iceberg", "delta"):
+        spark.dataSource.register(source(kind))
+
+
+def test_connectors_are_asked_for_the_table(spark, connectors):
+    from tessera import warehouse
+
+    assert ("table", "p.d.t") in rows(warehouse(spark, "bigquery", "p.d.t", credentials="k"))
+    got = warehouse(spark, "snowflake", "s.t", sfurl="u")
+    assert {("dbtable", "s.t"), ("sfurl", "u")} <= set(rows(got)) and got.scopes.keys() == {"t"}
+    for kind in ("iceberg", "delta"):
+        got = dt(spark, "/lake/my-table", **{kind: True, "branch": "b"})
+        assert {("path", "/lake/my-table"), ("branch", "b")} <= set(rows(got)) and got.scopes.keys() == {"my_table"}
+    with pytest.raises(Exception, match="(?i)driver|class"):
+        warehouse(spark, "athena", "t", url="jdbc:athena://x")
+    with pytest.raises(KeyError):
+        warehouse(spark, "unknown", "t")
+
+
+def test_switches(spark):
+    from tessera import connect, set_sql_mode, update_con, warnings
+
+    set_sql_mode("spark")
+    with pytest.raises(ValueError):
+        set_sql_mode("mysql")
+    warnings(True)
+    try:
+        with pytest.warns(UserWarning, match="select"):
+            dt(spark, pd.DataFrame({"select": [1], "b": [2]}))
+    finally:
+        warnings(False)
+    connect(spark, "s3", access_key="a")
+    update_con(spark, "s3", access_key="b")
+    assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.access.key") == "b"
