@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import Chunks, Memo, merge, ranks, rows, words
-from .shared import resident
+from .shared import resident, written
 
 
 #: Buckets of the literal rank map; a look-up in Spark's map type scans it, so each bucket is a small map of its own.
@@ -59,6 +59,23 @@ def encode_words(df: DataFrame, word_col: str = "word", vocab: str = "byte_bpe_5
     return df.withColumn("ids", F.expr(f"if({word} is null, null, {ids})"))
 
 
+def round_trip_by_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """As `round_trip`, by Spark's functions alone: each distinct word of the table is folded once, and its ids and
+    bytes are joined back to every place where it stands. The occurrences, not the texts, are shuffled twice."""
+    pattern = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}").replace(r"[^\p{IsWhite_Space}", r"[^\p{IsWhite_Space}")
+    docs = written(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    at = F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row")
+    places = docs.select(at, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "word"))
+    rank = ranks(public_tokenizers.path(vocab))
+    pieces = f"from_json('{json.dumps([t.hex().upper() for t, _ in sorted(rank.items(), key=lambda x: x[1])], separators=(',', ':'))}', 'array<string>')"
+    told = encode_words(places.select("word").distinct(), "word", vocab)
+    told = written(told.select("word", "ids", F.expr(f"transform(array({pieces}), p -> array_join(transform(ids, i -> get(p, i)), ''))[0]").alias("hex")))
+    found = places.join(told, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "hex"))).alias("w"))
+    ids, data = F.flatten(F.col("w.ids")), F.unhex(F.array_join(F.col("w.hex"), ""))
+    joined = docs.select("id", at).join(found, "row", "left").select("id", F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.coalesce(F.array_join(ids.cast("array<string>"), " "), F.lit("")), 256).alias("ids_sha256"), F.sha2(F.coalesce(data, F.lit(b"")), 256).alias("decoded_sha256"))
+    return joined.withColumnRenamed("id", id_col)
+
+
 class Codec:
     """Encoding and decoding under one vocabulary; words already met are remembered within bounds."""
 
