@@ -124,7 +124,9 @@ def _mapped(df: DataFrame, id_col: str, text_col: str, step: int, make, names: l
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """id and `ids` (array<int>) of every whole text, without special tokens; their strings are ordinary text.
 
-    A null text counts as empty (no ids); repeated rows stay repeated; other columns are not read."""
+    A null text counts as empty (no ids); repeated rows stay repeated; other columns are not read; an empty table
+    gives an empty result. Texts are encoded whole; a long word's pairs stand in a heap, so that it takes little more
+    time than its length."""
     return _mapped(df, id_col, text_col, 64, lambda c, texts: [pa.array([c.encode(t) if t else [] for t in texts], pa.list_(pa.int32()))], ["ids"], "ids array<int>", vocab)
 
 
@@ -137,7 +139,8 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded in one narrow pass.
 
     The digests are lowercase hexadecimal SHA-256 of the decimal ids joined by one space, and of the decoded bytes.
-    A null text counts as empty; ties cannot arise; an empty table gives an empty result."""
+    A null text counts as empty; repeated rows give equal rows; ties cannot arise; other columns are not read; an empty
+    table gives an empty result. Texts are encoded whole, however long."""
 
     def make(c: Codec, texts: list) -> list:
         n, a, b = zip(*[c.digests(t or "") for t in texts])

@@ -168,7 +168,7 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id"
     df: the candidates; queries: rows that ask, each against every candidate but the one of its own id. Ids are
     integers. Ties go to the smaller id. Vectors that are null, empty, zero, or hold null or non-finite components
     take no part, nor do rows without an id; vectors of different lengths are not compared. Fewer candidates than k
-    give fewer rows; repeated rows ask and answer once.
+    give fewer rows; repeated rows ask and answer once; empty tables give an empty result; further columns are not read.
 
     Equal vectors stand on one place of every curve, so only the k + 1 least ids of each are entered, which is all
     that can be among k nearest, and equal queries look up their windows once."""

@@ -131,8 +131,10 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
 
     n_base counts all places of all base phrases; first_word and last_word are their least and greatest starting
     word (null if none); labels are distinct, sorted and joined by commas; score is the best template's share of
-    weight that stands in place. A null text counts as empty (no words, empty labels, score 0). Repeated rows stay
-    repeated; other columns are not read. Two narrow passes: frequencies, then the scan."""
+    weight that stands in place; of templates of one label the best counts, so ties need no rule. A null text counts
+    as empty (no words, empty labels, score 0). Repeated rows stay repeated; other columns are not read, whatever their
+    names; an empty table gives an empty result. Texts are read whole, one text's words in memory at a time. Two narrow
+    passes: frequencies, then the scan."""
     idf = word_frequencies(df, text_col, templates, base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,7 +6,8 @@ left out. Fingerprints that share a key are the candidates, and the whole finger
 
 Components are found without listing the pairs of a crowded key. First every fingerprint is compared with the
 least one under its key, which joins dense groups with as many rows as members. Then only keys that still hold
-fingerprints of several components are joined with themselves, between different components, until no link is new.
+fingerprints of several components are looked at again: the largest component under a key is compared with the
+others, and those among themselves, so the square of a dense group is never formed.
 """
 
 from __future__ import annotations
@@ -129,10 +130,17 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("half").alias("_a"), F.max("half").alias("_b"))
     mixed = mixed.filter("_low < _high and _n > 2 and (_a is null or _a < _b)").select("key")
     rest = keyed.join(mixed, "key", "left_semi")
-    a, b = (rest.select("key", F.col("half").alias(f"h{n}"), F.col("fp").alias(n), F.col("label").alias(f"l{n}")) for n in "ab")
+    # a component with most of a key's fingerprints is compared with the others there, but not with itself
+    most = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"))
+    rest = rest.join(written(most.select(F.col("key"), F.col("_m.label").alias("most"))), "key")
+    side = lambda n, which: rest.filter(which).select("key", F.col("half").alias(f"h{n}"), F.col("fp").alias(n), F.col("label").alias(f"l{n}"))
+    large, few = F.col("label") == F.col("most"), F.col("label") != F.col("most")
+    near = _near(F.col("a"), F.col("b"), distance)
+    unlike = F.col("ha").isNull() | (F.col("ha") != F.col("hb"))
+    a, b, c = side("a", large), side("b", few), side("a", few)
+    across = a.join(b, (a.key == b.key) & unlike & near).select("a", "b")
     apart = F.when(F.col("ha").isNull(), F.col("la") < F.col("lb")).otherwise((F.col("ha") < F.col("hb")) & (F.col("la") != F.col("lb")))
-    across = a.join(b, (a.key == b.key) & apart & _near(F.col("a"), F.col("b"), distance))
-    return edges.union(across.select("a", "b"))
+    return edges.union(across).union(c.join(b, (c.key == b.key) & apart & near).select("a", "b"))
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

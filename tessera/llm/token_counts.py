@@ -136,7 +136,8 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """id and `counts`, where counts[i] is the token count of the text's first i characters (i from 0).
 
     Truncation to k characters costs counts[k] tokens; a budget of b tokens allows the last i with counts[i] <= b.
-    A null text counts as empty: counts is [0]."""
+    A null text counts as empty: counts is [0]. Repeated rows stay repeated; an empty table gives an empty result; a
+    text's counts take four bytes a character, however long it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(public_tokenizers.path(vocab))
@@ -150,7 +151,8 @@ def prefix_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def fit_to_budget(df: DataFrame, budget: int, counts_col: str = "counts") -> DataFrame:
-    """Adds `fit_chars`, the longest prefix in characters that has at most `budget` tokens, from stored counts alone."""
+    """Adds `fit_chars`, the longest prefix in characters that has at most `budget` tokens, from stored counts alone;
+    null for null counts. Of prefixes with equal counts the longest is taken."""
     c = F.col(counts_col)
     longest = F.array_max(F.transform(c, lambda n, i: F.when(n <= budget, i)))
     return df.withColumn("fit_chars", longest)

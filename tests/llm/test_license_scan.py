@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -33,3 +34,36 @@ def test_query_covers_the_table(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op10_license_scan(spark, sf).collect()
     assert {x.doc_id: (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) for x in rows} == {i: brute(t) for i, t in docs.items()}
+
+
+def test_labels_and_scores_match_brute_force(spark):
+    """Every place of every template's key phrase is looked at, without an index."""
+    r = random.Random(4)
+    own = [words for _, text, _ in license_scan.TEMPLATES for words in [text.split()]]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randint(0, 4)):
+            words = list(r.choice(own))
+            for _ in range(r.choice([0, 0, 1, 3])):  # a word changed, lost or put in
+                i = r.randrange(len(words))
+                words[i : i + r.choice([0, 1])] = r.choice([[], ["river"], ["the"]])
+                words = words or ["x"]
+            parts += words[r.choice([0, 0, 2]) :] + ["stone"] * r.randint(0, 3)
+        texts.append(" ".join(parts))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    idf = {w.decode(): x for w, x in license_scan.word_frequencies(df).items()}
+    n = {w: sum(w in t.split() for t in texts) for w in idf}
+    for w, x in idf.items():
+        assert abs(x - math.log((len(texts) + 1) / (n[w] + 1)) - 1e-6) < 1e-9
+    rows = {x.doc_id: x for x in license_scan.scan(df).collect()}
+    for i, text in enumerate(texts):
+        words, scores = text.split(), {label: 0.0 for p, label in PHRASES.items() if re.search(rf"(?<!\S){p}(?!\S)", text)}
+        for label, template, key in license_scan.TEMPLATES:
+            template, key = template.split(), key.split()
+            at = next(k for k in range(len(template)) if template[k : k + len(key)] == key)
+            for place in range(len(words)):
+                if words[place : place + len(key)] == key:
+                    stands = [x for k, x in enumerate(template) if 0 <= place - at + k < len(words) and words[place - at + k] == x]
+                    scores[label] = max(scores.get(label, 0.0), min(1.0, sum(idf[x] for x in stands) / sum(idf[x] for x in template)))
+        assert rows[i].labels == ",".join(sorted(scores)) and abs(rows[i].score - max(scores.values(), default=0.0)) < 1e-9

@@ -54,6 +54,14 @@ def test_components_match_brute_force(spark):
                 f ^= 1 << r.randrange(64)
             fps.append(f)
         fps += [base ^ (1 << a) ^ (1 << b) for a in range(0, 20, 5) for b in range(21, 40, 6)]
+    for base in fps[12:24]:  # a dense group, and others that only one of its members is near, under keys that it fills
+        group = [base ^ (1 << a) ^ (1 << b) for a, b in (r.sample(range(22, 43), 2) for _ in range(25))]
+        fps += group
+        for member in r.sample(group, 6):
+            lone = member
+            for at in [*r.sample(range(22), r.choice([1, 2])), *r.sample(range(43, 64), 2)]:
+                lone ^= 1 << at
+            fps += [lone, lone ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))]
     fps = list(dict.fromkeys(fps))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
