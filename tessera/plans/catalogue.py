@@ -65,8 +65,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def money(x) -> object:
-    """A sum that does not depend on the order of its terms."""
-    return f.row(lambda c: c.cast("double"), f.sum(f.row(lambda c: c.cast("decimal(18,2)"), x)))
+    """A sum of values with two decimals that does not depend on the order of its terms: of whole hundredths."""
+    return f.row(lambda c: c.cast("double") / 100, f.sum(f.row(lambda c: F.rint(c * 100).cast("long"), x)))
 
 
 # projection

@@ -449,6 +449,13 @@ def test_sums_have_128_bits(spark):
     assert rows(t.summarize(s=f.sum("x"), t=f.as_string(f.sum("x")), y=f.sum("y"))) == [(3 << 62, str(3 << 62), 21)]
     assert [int(r[0]) for r in rows(t.transmute(s=f.cumsum("x")))] == [1 << 62, 2 << 62, 3 << 62]
     assert t.summarize(y=f.sum("y")).schema[0].dataType.simpleString() == "bigint"
+    r = random.Random(3)
+    values = [r.randint(-(1 << 63), (1 << 63) - 1) for _ in range(200)] + [-(1 << 63), (1 << 63) - 1, -1, 0, None]
+    t = make(spark, [(i % 7, x) for i, x in enumerate(values)], "g int, x long")
+    want = {g: sum(x or 0 for x in values[g::7]) for g in range(7)}
+    assert {g: int(x) for g, x in rows(t.summarize(x=f.sum("x"), _by="g"))} == want
+    assert {(g, int(x)) for g, x in rows(t.transmute(x=f.sum("x"), _by="g"))} == set(want.items())
+    assert rows(t.filter(col("g") > 9).summarize(x=f.sum("x"))) == [(None,)]
 
 
 def test_text_of_numbers(spark):
