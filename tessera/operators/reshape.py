@@ -11,15 +11,23 @@ from pyspark.sql import types as T
 from ..functions.expr import quoted
 
 
+#: Levels that may be read from a table for columns; Spark's own limit of pivots.
+MOST_LEVELS = 10_000
+
+
 def _q(name: str) -> Column:
     return F.col(quoted(name))
 
 
 def pivot_wider(df: DataFrame, names: str, values: list[str], levels: list | None) -> DataFrame:
     """A column for each level of `names`; cells hold the first value that is not null. Levels that are not given are
-    read from the table and sorted. Of several value columns each makes its own, level_value."""
+    read from the table and sorted; more than MOST_LEVELS are an error. Of several value columns each makes its own,
+    level_value."""
     if levels is None:
-        levels = sorted((r[0] for r in df.select(_q(names)).distinct().collect() if r[0] is not None), key=lambda v: (str(type(v)), v))
+        found = df.select(_q(names)).filter(_q(names).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{names} has more than {MOST_LEVELS} levels; give those that are wanted")
+        levels = sorted((r[0] for r in found), key=lambda v: (str(type(v)), v))
     ids = [c for c in df.columns if c != names and c not in values]
     one = len(values) == 1
     cells = [F.any_value(F.when(_q(names) == F.lit(v), _q(c)), F.lit(True)).alias(str(v) if one else f"{v}_{c}") for c in values for v in levels]

@@ -591,3 +591,14 @@ def test_switches(spark):
     connect(spark, "s3", access_key="a")
     update_con(spark, "s3", access_key="b")
     assert spark.sparkContext._jsc.hadoopConfiguration().get("fs.s3a.access.key") == "b"
+
+
+def test_pivots_of_too_many_levels_are_refused(spark, monkeypatch):
+    from tessera.operators import reshape
+
+    t = make(spark, [(i, i, 1) for i in range(12)] + [(0, None, 2)], "g int, k int, v int")
+    assert len(t.pivot_wider("k", "v").columns) == 13
+    monkeypatch.setattr(reshape, "MOST_LEVELS", 11)
+    with pytest.raises(ValueError, match="levels"):
+        t.pivot_wider("k", "v")
+    assert t.pivot_wider(("k", [1, 2]), "v").columns == ["g", "1", "2"]
