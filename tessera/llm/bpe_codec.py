@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding.
 
-Each distinct word is a byte array whose adjacent pairs are folded by ascending rank; decoding joins the tokens'
-binary pieces. `encode_words` states that fold in Spark's higher-order functions with the rank map as a literal,
-for tables of distinct words. `encode_texts` runs the same fold on Arrow batches, once for each distinct word a
-worker meets, because whole texts would need every word occurrence joined back to its encoding by a shuffle.
+A word is a byte array whose adjacent pairs are folded by ascending rank; decoding joins the tokens' binary pieces.
+`encode_words` states that fold in Spark's higher-order functions with the rank map as a literal, and `round_trip` uses
+it for whole texts: once for each of the table's frequent distinct words, whose ids become a literal map, and in place
+for the others. `encode_texts` and `round_trip_arrow` run the same fold on Arrow batches, with a heap for long words.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from collections.abc import Iterator
 
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytebpe import Chunks, Memo, merge, ranks, rows, words
@@ -23,8 +24,20 @@ from .shared import resident, written
 
 
 #: Buckets of the literal rank map; a look-up in Spark's map type scans it, so each bucket is a small map of its own.
-SLOTS = 16_384
+SLOTS = 1 << 16
 NONE = 1 << 30
+#: Words of a table that are folded once and looked up, at most, and their characters: some 20 MB in a plan.
+KNOWN = 200_000
+SHORT = 40
+#: Characters of a run in which a word may be too long for a fold in Spark.
+LONG = 200
+#: The pattern in Java's spelling, with the same white space as in WORDS.
+JAVA_WORDS = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
+
+
+def _json(value: list, kind: str) -> str:
+    """SQL of a literal."""
+    return "from_json('" + json.dumps(value, separators=(",", ":")).replace("\\", "\\\\").replace("'", "\\'") + f"', '{kind}')"
 
 
 def rank_map(rank: dict[bytes, int]) -> str:
@@ -33,15 +46,14 @@ def rank_map(rank: dict[bytes, int]) -> str:
     for token, r in rank.items():
         key = token.hex().upper()
         slots[zlib.crc32(key.encode()) % SLOTS][key] = r
-    return f"from_json('{json.dumps(slots, separators=(',', ':'))}', 'array<map<string,int>>')"
+    return _json(slots, "array<map<string,int>>")
 
 
-def encode_words(df: DataFrame, word_col: str = "word", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """Adds `ids` (array<int>) of each row's word, one match of the splitting pattern, by Spark's functions alone.
+def _fold(word: str) -> str:
+    """SQL of a word's ids, where `tab` is the rank map.
 
-    The word's bytes are a list of parts. A fold takes as many steps as there could be merges: each finds the pair of
-    least rank (the leftmost of equals), joins it, and looks up the two pairs beside it again. A null word gives
-    null ids, an empty one none. Meant for tables of distinct words."""
+    The word's bytes are a list of parts. The fold takes as many steps as there could be merges: each finds the pair of
+    least rank (the leftmost of equals), joins it, and looks up the two pairs beside it again."""
     look = lambda k: f"coalesce(try_element_at(get(tab, cast(crc32(encode({k}, 'UTF-8')) % {SLOTS} as int)), {k}), {NONE})"
     pair = lambda a, b: f"if({a} is null or {b} is null, {NONE}, {look(f'concat({a}, {b})')})"
     kind = "struct<p:array<string>,r:array<int>>"
@@ -53,27 +65,67 @@ def encode_words(df: DataFrame, word_col: str = "word", vocab: str = "byte_bpe_5
     joined = f"transform(array({new}), new -> cast(named_struct('p', {parts_}, 'r', {ranks_}) as {kind}))[0]"
     step = f"if(coalesce(array_min(s.r), {NONE}) = {NONE}, s, transform(array(cast(array_position(s.r, array_min(s.r)) as int)), i -> {joined})[0])"
     fold = f"aggregate(slice(parts, 1, greatest(size(parts) - 1, 0)), {begin}, (s, x) -> {step}, s -> transform(s.p, t -> {look('t')}))"
-    word = f"`{word_col}`"
-    bytes_ = f"regexp_extract_all(hex(encode({word}, 'UTF-8')), '..', 0)"
-    ids = f"transform(array({rank_map(ranks(public_tokenizers.path(vocab)))}), tab -> transform(array({bytes_}), parts -> {fold})[0])[0]"
-    return df.withColumn("ids", F.expr(f"if({word} is null, null, {ids})"))
-
-
-def round_trip_by_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """As `round_trip`, by Spark's functions alone: each distinct word of the table is folded once, and its ids and
-    bytes are joined back to every place where it stands. The occurrences, not the texts, are shuffled twice."""
-    pattern = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}").replace(r"[^\p{IsWhite_Space}", r"[^\p{IsWhite_Space}")
-    docs = written(df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
-    at = F.xxhash64("_metadata.file_name", "_metadata.row_index").alias("row")
-    places = docs.select(at, F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("place", "word"))
+    return f"transform(array(regexp_extract_all(hex(encode({word}, 'UTF-8')), '..', 0)), parts -> {fold})[0]"
+
+
+def _bound(name: str, literal: str, body: str) -> str:
+    """SQL of the body, in which the name stands for the literal."""
+    return f"transform(array({literal}), {name} -> {body})[0]"
+
+
+def encode_words(df: DataFrame, word_col: str = "word", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """Adds `ids` (array<int>) of each row's word, one match of the splitting pattern, by Spark's functions alone.
+
+    A null word gives null ids, an empty one none. A word's fold takes time with the square of its length."""
+    ids = _bound("tab", rank_map(ranks(public_tokenizers.path(vocab))), _fold(f"`{word_col}`"))
+    return df.withColumn("ids", F.expr(f"if(`{word_col}` is null, null, {ids})"))
+
+
+def frequent_words(texts: DataFrame, vocab: str, most: int = KNOWN) -> dict[str, list[int]]:
+    """Ids of the table's most frequent words, each folded once; at most `most` words of at most SHORT characters,
+    counted over all texts. Words as frequent as the first one left out are left out too, so the choice is settled."""
+    counts = written(texts.select(F.explode(_words("text")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    often, enough = 0, None
+    for r in counts.filter(F.length("word") <= SHORT).groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        often += r.k
+        if often > most:
+            break
+        enough = r.n
+    if enough is None:
+        return {}
+    # rank by rank the words' number is known by now to be at most `most`
+    some = counts.filter((F.col("n") >= enough) & (F.length("word") <= SHORT)).select("word")
+    return {r.word: r.ids for r in encode_words(some, "word", vocab).collect()}
+
+
+def _words(text_col: str) -> Column:
+    return F.regexp_extract_all(text_col, F.lit(JAVA_WORDS), F.lit(0))
+
+
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken", most: int = KNOWN) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded, by Spark's functions.
+
+    The digests are lowercase hexadecimal SHA-256 of the decimal ids joined by one space, and of the decoded bytes.
+    The table's frequent words are folded once and looked up in a literal map; the others are folded where they stand,
+    so nothing but counts of words is shuffled. Texts with a run of LONG characters with or without white space, whose
+    fold would take the square of that, are encoded by `round_trip_arrow`, which keeps a long word's pairs in a heap.
+
+    A null text counts as empty; repeated rows give equal rows; ties cannot arise; other columns are not read; an empty
+    table gives an empty result. Texts are encoded whole, however long."""
     rank = ranks(public_tokenizers.path(vocab))
-    pieces = f"from_json('{json.dumps([t.hex().upper() for t, _ in sorted(rank.items(), key=lambda x: x[1])], separators=(',', ':'))}', 'array<string>')"
-    told = encode_words(places.select("word").distinct(), "word", vocab)
-    told = written(told.select("word", "ids", F.expr(f"transform(array({pieces}), p -> array_join(transform(ids, i -> get(p, i)), ''))[0]").alias("hex")))
-    found = places.join(told, "word").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "hex"))).alias("w"))
-    ids, data = F.flatten(F.col("w.ids")), F.unhex(F.array_join(F.col("w.hex"), ""))
-    joined = docs.select("id", at).join(found, "row", "left").select("id", F.coalesce(F.size(ids), F.lit(0)).cast("long").alias("n_tokens"), F.sha2(F.coalesce(F.array_join(ids.cast("array<string>"), " "), F.lit("")), 256).alias("ids_sha256"), F.sha2(F.coalesce(data, F.lit(b"")), 256).alias("decoded_sha256"))
-    return joined.withColumnRenamed("id", id_col)
+    texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    long = F.col("text").rlike(rf"\S{{{LONG}}}|\s{{{LONG}}}")
+    known: list[dict] = [{} for _ in range(SLOTS)]
+    for word, ids in frequent_words(texts.filter(~long), vocab, most).items():
+        known[xxhash.xxh64_intdigest(word, 42) % SLOTS][word] = ids
+    look = f"try_element_at(get(known, cast(xxhash64(w) & {SLOTS - 1} as int)), w)"
+    ids = _bound("known", _json(known, "array<map<string,array<int>>>"), f"flatten(transform(words, w -> coalesce({look}, {_fold('w')})))")
+    ids = _bound("tab", rank_map(rank), ids)
+    pieces = _json([t.hex().upper() for t, _ in sorted(rank.items(), key=lambda x: x[1])], "array<string>")
+    short = texts.filter(~long).select("id", _words("text").alias("words")).select("id", F.expr(ids).alias("ids"))
+    decoded = F.expr(_bound("pieces", pieces, "unhex(array_join(transform(ids, i -> get(pieces, i)), ''))"))
+    told = short.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
+    return told.union(round_trip_arrow(texts.filter(long), "id", "text", vocab)).withColumnRenamed("id", id_col)
 
 
 class Codec:
@@ -135,8 +187,8 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return _mapped(df, id_col, ids_col, 64, lambda c, lists: [pa.array([None if x is None else c.decode(x) for x in lists], pa.binary())], ["bytes"], "bytes binary", vocab)
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded in one narrow pass.
+def round_trip_arrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """As `round_trip`, in one narrow pass of Arrow batches: a worker folds each distinct word that it meets once.
 
     The digests are lowercase hexadecimal SHA-256 of the decimal ids joined by one space, and of the decoded bytes.
     A null text counts as empty; repeated rows give equal rows; ties cannot arise; other columns are not read; an empty
