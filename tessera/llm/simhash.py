@@ -129,7 +129,7 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # keys of two fingerprints are settled, and so are those of one component or one half
     mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("half").alias("_a"), F.max("half").alias("_b"))
     mixed = mixed.filter("_low < _high and _n > 2 and (_a is null or _a < _b)").select("key")
-    rest = keyed.join(mixed, "key", "left_semi")
+    rest = written(keyed.join(mixed, "key", "left_semi"))  # read four times below
     # a component with most of a key's fingerprints is compared with the others there, but not with itself
     most = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"))
     rest = rest.join(written(most.select(F.col("key"), F.col("_m.label").alias("most"))), "key")
