@@ -1,9 +1,10 @@
 """Byte-level BPE encoding and decoding.
 
 A word is a byte array whose adjacent pairs are folded by ascending rank; decoding joins the tokens' binary pieces.
-`encode_words` states that fold in Spark's higher-order functions with the rank map as a literal, and `round_trip` uses
-it for whole texts: once for each of the table's frequent distinct words, whose ids become a literal map, and in place
-for the others. `encode_texts` and `round_trip_arrow` run the same fold on Arrow batches, with a heap for long words.
+`encode_words` states that fold in Spark's higher-order functions with the rank map as a literal, and
+`round_trip_native` uses it for whole texts: once for each of the table's frequent distinct words, whose ids become a
+literal map, and in place for the others. `encode_texts` and `round_trip` run the same fold on Arrow batches, once for
+each distinct word that a worker meets, with a heap for long words, in a fraction of the time.
 """
 
 from __future__ import annotations
@@ -102,13 +103,12 @@ def _words(text_col: str) -> Column:
     return F.regexp_extract_all(text_col, F.lit(JAVA_WORDS), F.lit(0))
 
 
-def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken", most: int = KNOWN) -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded, by Spark's functions.
+def round_trip_native(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken", most: int = KNOWN) -> DataFrame:
+    """As `round_trip`, by Spark's functions.
 
-    The digests are lowercase hexadecimal SHA-256 of the decimal ids joined by one space, and of the decoded bytes.
     The table's frequent words are folded once and looked up in a literal map; the others are folded where they stand,
     so nothing but counts of words is shuffled. Texts with a run of LONG characters with or without white space, whose
-    fold would take the square of that, are encoded by `round_trip_arrow`, which keeps a long word's pairs in a heap.
+    fold would take the square of that, are encoded by `round_trip`, which keeps a long word's pairs in a heap.
 
     A null text counts as empty; repeated rows give equal rows; ties cannot arise; other columns are not read; an empty
     table gives an empty result. Texts are encoded whole, however long."""
@@ -125,7 +125,7 @@ def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     short = texts.filter(~long).select("id", _words("text").alias("words")).select("id", F.expr(ids).alias("ids"))
     decoded = F.expr(_bound("pieces", pieces, "unhex(array_join(transform(ids, i -> get(pieces, i)), ''))"))
     told = short.select("id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
-    return told.union(round_trip_arrow(texts.filter(long), "id", "text", vocab)).withColumnRenamed("id", id_col)
+    return told.union(round_trip(texts.filter(long), "id", "text", vocab)).withColumnRenamed("id", id_col)
 
 
 class Codec:
@@ -187,8 +187,9 @@ def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voca
     return _mapped(df, id_col, ids_col, 64, lambda c, lists: [pa.array([None if x is None else c.decode(x) for x in lists], pa.binary())], ["bytes"], "bytes binary", vocab)
 
 
-def round_trip_arrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """As `round_trip`, in one narrow pass of Arrow batches: a worker folds each distinct word that it meets once.
+def round_trip(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256 of every whole text, encoded and decoded in one narrow pass of Arrow
+    batches: a worker folds each distinct word that it meets once.
 
     The digests are lowercase hexadecimal SHA-256 of the decimal ids joined by one space, and of the decoded bytes.
     A null text counts as empty; repeated rows give equal rows; ties cannot arise; other columns are not read; an empty

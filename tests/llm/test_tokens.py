@@ -147,7 +147,7 @@ def test_queries_on_the_smallest_tables(spark, sf):
 def test_native_round_trip_matches_library(spark, odd, tik, most):
     """With no, some and all words looked up; texts with long runs go the other way."""
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
-    rows = bpe_codec.round_trip(odd, most=most).collect()
+    rows = bpe_codec.round_trip_native(odd, most=most).collect()
     assert len(rows) == len(texts)
     for r in rows:
         ids, raw = tik.encode_ordinary(texts[r.doc_id]), texts[r.doc_id].encode()
@@ -158,7 +158,7 @@ def test_frequent_words_are_settled_and_bounded(spark):
     df = spark.createDataFrame([("a a a b b c c d " + "x" * 50,), ("a b " * 3,), (None,)], "text string").na.fill("")
     got = {n: sorted(bpe_codec.frequent_words(df, "byte_bpe_50k.tiktoken", n)) for n in (0, 1, 2, 3, 100)}
     assert got[0] == [] and got[1] == [" b"] and got[100] == sorted({" a", " b", " c", " d", "a", " "}) and len(got[3]) <= 3
-    plan = bpe_codec.round_trip(df.selectExpr("1L as doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
+    plan = bpe_codec.round_trip_native(df.selectExpr("1L as doc_id", "text"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Exchange" not in plan  # that of texts with long runs
 
 
