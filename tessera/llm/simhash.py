@@ -88,6 +88,14 @@ def _near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """df, marked so that a join with it broadcasts neither side, whatever Spark takes their sizes to be.
+
+    Spark counts exploded rows as if they were not exploded, so it would send 64 rows a fingerprint through the driver,
+    and a written table as large as its files, in which a label that many rows share takes no room."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of its component, for every node of the edges (a, b).
 
@@ -102,9 +110,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.union(edges.select("b", "a"))
         # a hub may hold most edges: the side with one row a node is written, so that Spark can split the other one
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("b > a").join(_shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
+        small = large.join(_shuffled(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(low.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small)
         after = fingerprint_of(edges)
         if after == before:
@@ -121,26 +129,26 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # the least fingerprint under a key, or of those whose bit is 0
     hubs = keyed.groupBy("key").agg(F.min(F.when(F.coalesce("half", F.lit(0)) == 0, F.col("fp"))).alias("hub"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 and hub is not null").select("key", "hub")
     hubs = written(hubs)  # at most 64 x 2**21 rows; Spark then splits a key that holds many fingerprints
-    stars = keyed.join(hubs, (keyed.key == hubs.key) & (F.coalesce("half", F.lit(1)) == 1) & (F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance))
+    stars = keyed.join(_shuffled(hubs), (keyed.key == hubs.key) & (F.coalesce("half", F.lit(1)) == 1) & (F.col("fp") != F.col("hub")) & _near(F.col("fp"), F.col("hub"), distance))
     edges = written(stars.select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct())
     labels = components(edges)
-    placed = written(nodes.select("fp").join(labels, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label")))
+    placed = written(nodes.select("fp").join(_shuffled(labels), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("label", "fp").alias("label")))
     keyed = _keyed(placed)
     # keys of two fingerprints are settled, and so are those of one component or one half
     mixed = keyed.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high"), F.count(F.lit(1)).alias("_n"), F.min("half").alias("_a"), F.max("half").alias("_b"))
     mixed = mixed.filter("_low < _high and _n > 2 and (_a is null or _a < _b)").select("key")
-    rest = written(keyed.join(mixed, "key", "left_semi"))  # read four times below
+    rest = written(keyed.join(_shuffled(mixed), "key", "left_semi"))  # read four times below
     # a component with most of a key's fingerprints is compared with the others there, but not with itself
     most = rest.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("key").agg(F.max(F.struct("_n", "label")).alias("_m"))
-    rest = rest.join(written(most.select(F.col("key"), F.col("_m.label").alias("most"))), "key")
+    rest = rest.join(_shuffled(written(most.select(F.col("key"), F.col("_m.label").alias("most")))), "key")
     side = lambda n, which: rest.filter(which).select("key", F.col("half").alias(f"h{n}"), F.col("fp").alias(n), F.col("label").alias(f"l{n}"))
     large, few = F.col("label") == F.col("most"), F.col("label") != F.col("most")
     near = _near(F.col("a"), F.col("b"), distance)
     unlike = F.col("ha").isNull() | (F.col("ha") != F.col("hb"))
     a, b, c = side("a", large), side("b", few), side("a", few)
-    across = a.join(b, (a.key == b.key) & unlike & near).select("a", "b")
+    across = a.join(_shuffled(b), (a.key == b.key) & unlike & near).select("a", "b")
     apart = F.when(F.col("ha").isNull(), F.col("la") < F.col("lb")).otherwise((F.col("ha") < F.col("hb")) & (F.col("la") != F.col("lb")))
-    return edges.union(across).union(c.join(b, (c.key == b.key) & apart & near).select("a", "b"))
+    return edges.union(across).union(c.join(_shuffled(b), (c.key == b.key) & apart & near).select("a", "b"))
 
 
 def cluster(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -160,10 +168,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> DataFr
     nodes = rows.groupBy("fp").agg(F.min("id").alias("least"))
     labels = written(components(links(nodes, distance)))
     # both sides of each join are written: a component or a text with a third of all rows is split by Spark
-    labelled = written(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    labelled = written(nodes.join(_shuffled(labels), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     ids = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")))
-    of = written(labelled.join(ids, "label").select("fp", "label", "component_id"))
-    return rows.join(of, "fp")
+    of = written(labelled.join(_shuffled(ids), "label").select("fp", "label", "component_id"))
+    return rows.join(_shuffled(of), "fp")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:

@@ -99,6 +99,25 @@ def test_odd_rows_and_keeping_one(spark):
     assert sorted(r.doc_id or 0 for r in simhash.keep_one(big).collect()) == [0, 1, 2, 7]
 
 
+def test_no_join_broadcasts_a_side(spark):
+    """Spark takes exploded rows for as few as before, and written tables for as small as their files."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    words = "river stone valley bird green quiet winter road lamp house".split()
+    r = random.Random(7)
+    texts = [" ".join(r.choices(words, k=30)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t + end for t in texts for end in ("", " end", " and"))], "doc_id long, text string")
+    try:
+        assert len(simhash.cluster(df).collect()) == 120
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        runs = store.executionsList()
+        plans = [runs.apply(i).physicalPlanDescription() for i in range(before, runs.size())]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("Join" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
 def test_one_row_of_each_component_whatever_its_id(spark):
     """Against brute force, where ids repeat on unlike texts, are null, or whole rows repeat."""
     r = random.Random(5)
