@@ -185,6 +185,6 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dist
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("text_key"))).alias("r")
     stay = written(grouped.groupBy("label").agg(first).select(F.col("r.id").alias("__tessera_id"), F.col("r.text_key").alias("__tessera_text")))
     own = df.withColumn("__tessera_own", text_key(text_col))
-    near = own.join(stay, F.col(id_col).eqNullSafe(F.col("__tessera_id")) & F.col("__tessera_own").eqNullSafe(F.col("__tessera_text")))
+    near = own.join(_shuffled(stay), F.col(id_col).eqNullSafe(F.col("__tessera_id")) & F.col("__tessera_own").eqNullSafe(F.col("__tessera_text")))
     order = Window.partitionBy("__tessera_id", "__tessera_text").orderBy(F.lit(1))
     return near.withColumn("__tessera_n", F.row_number().over(order)).filter("__tessera_n = 1").select(*df.columns)
