@@ -131,16 +131,27 @@ def round_trip_native(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 class Codec:
     """Encoding and decoding under one vocabulary; words already met are remembered within bounds."""
 
-    def __init__(self, path: str, memo: int = 120_000):
+    def __init__(self, path: str, memo: int = 240_000):
         self.rank = ranks(path)
         self.piece = {i: t for t, i in self.rank.items()}
-        self._word = Memo(lambda w: " ".join([str(self.rank[t]) for t in merge(w.encode(), self.rank)]), memo)
+        self._name = {t: str(i) for t, i in self.rank.items()}
+        self._named = {n: t for t, n in self._name.items()}
+        self._word = Memo(self._folded, memo // 4)
         self._chunks = Chunks(self._encoded, memo)
 
+    def _folded(self, word: str) -> tuple[str, bytes]:
+        """A word's ids in decimal, joined by spaces, and the bytes that they decode to."""
+        names = list(map(self._name.__getitem__, merge(word.encode(), self.rank)))
+        return " ".join(names), b"".join(map(self._named.__getitem__, names))
+
     def _encoded(self, chunk: str) -> tuple[str, bytes]:
-        """The ids in decimal, joined by spaces, and the bytes that they decode to."""
-        ids = " ".join(map(self._word.__getitem__, words(chunk)))
-        return ids, self.decode(map(int, ids.split()))
+        """As `_folded`, of a chunk. What the chunks' memo keeps anyway is not kept by the words' too."""
+        found = words(chunk)
+        if len(found) == 1:
+            return self._folded(chunk) if chunk[0] == " " else self._word[chunk]
+        tail = self._chunks.tail
+        ids, raw = zip(*[tail[w[1:]] if w[0] == " " and w[1:].isalpha() else self._word[w] for w in found])
+        return " ".join(ids), b"".join(raw)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for ids, _ in self._chunks.values(text) for i in ids.split()]

@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import public_tokenizers
 import pyarrow as pa
@@ -93,21 +93,20 @@ def merge(word: bytes, rank: dict[bytes, int]) -> list[bytes]:
         return [word]
     if len(word) > 64:
         return _merge_long(word, rank)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    none = len(rank) + 1
-    scores = [rank.get(a + b, none) for a, b in zip(parts, parts[1:])]
+    cuts, none, get = list(range(len(word) + 1)), len(rank) + 1, rank.get
+    # of the pair that begins at each cut but the last two
+    scores = [get(word[i : i + 2], none) for i in range(len(word) - 1)]
     while scores:
         best = min(scores)
         if best == none:
             break
         i = scores.index(best)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del scores[i]
+        del cuts[i + 1], scores[i]
         if i:
-            scores[i - 1] = rank.get(parts[i - 1] + parts[i], none)
+            scores[i - 1] = get(word[cuts[i - 1] : cuts[i + 1]], none)
         if i < len(scores):
-            scores[i] = rank.get(parts[i] + parts[i + 1], none)
-    return parts
+            scores[i] = get(word[cuts[i] : cuts[i + 2]], none)
+    return [word[a:b] for a, b in pairwise(cuts)]
 
 
 def _merge_long(word: bytes, rank: dict[bytes, int]) -> list[bytes]:

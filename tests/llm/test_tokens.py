@@ -81,6 +81,18 @@ def test_op4_round_trip(odd, tik):
     assert {r.doc_id: bytes(r.bytes).decode() for r in back.collect()} == texts
 
 
+def test_codec_folds_and_keeps_each_word_once(tik, monkeypatch):
+    folded = []
+    monkeypatch.setattr(bpe_codec, "merge", lambda w, rank: folded.append(w) or merge(w, rank))
+    c = bpe_codec.Codec(RANKS)
+    texts = [" zorbling quaffed, zorbling. quaffed's end", "first zorbling, 7x " + "\u00e9t\u00e9" * 9, " ", "a  b \n c", *made(11, 60)]
+    for s in (*texts, *texts):
+        ids = tik.encode_ordinary(s)
+        assert c.digests(s) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(s.encode()).hexdigest()) and c.encode(s) == ids
+    assert folded.count(b" zorbling") == folded.count(b" quaffed") == 1
+    assert " zorbling" not in c._word and "zorbling" in c._chunks.tail  # with the chunks only, not again with the words
+
+
 def test_op6_pieces_are_whole_and_gapless(odd, hf):
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     by_doc, by_sequence = {}, {}
