@@ -8,6 +8,7 @@ consecutive sequences at an offset. The pieces are numbered within their length
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,26 +18,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytebpe import SPECIAL, SPECIAL_ID, Chunks, packed, rows, rust
+from .bytebpe import SPECIAL, SPECIAL_ID, packed, rows, rust
 from .shared import resident, written
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces that are numbered together in one group; longer classes are dealt over several groups.
 GROUP = 500
+#: Characters that are encoded in one call; a call for each word costs twice the time, even if frequent ones are kept.
+SPAN = 65_536
+#: A space after a character that is not white space.
+BOUNDARY = re.compile(r"\S ")
 
 
 class Ids:
     """Ids of whole texts as packed 32-bit integers; the special token's string gives its id, as by default."""
 
-    def __init__(self, path: str, memo: int = 80_000):
-        encode = rust(path).encode_ordinary
-        self._chunks = Chunks(lambda chunk: packed(encode(chunk)), memo)
+    def __init__(self, path: str):
+        self._encode = rust(path).encode_ordinary
 
     def of(self, text: str) -> bytes:
-        if SPECIAL in text:
-            return packed([SPECIAL_ID]).join(b"".join(self._chunks.values(p)) if p else b"" for p in text.split(SPECIAL))
-        return b"".join(self._chunks.values(text)) if text else b""
+        return packed([SPECIAL_ID]).join(b"".join(packed(self._encode(s)) for s in spans(p)) for p in text.split(SPECIAL))
+
+
+def spans(text: str, size: int = SPAN) -> Iterator[str]:
+    """The text in parts of at least `size` characters but the last, cut before spaces that follow no white space: no
+    match of the pattern crosses such a place or looks beyond it, so the parts' ids are those of the whole."""
+    start = 0
+    while at := BOUNDARY.search(text, start + size):
+        yield text[start : at.end() - 1]
+        start = at.end() - 1
+    if start < len(text):
+        yield text[start:]
 
 
 def ids_of(path: str) -> Ids:

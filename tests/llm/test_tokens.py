@@ -115,6 +115,32 @@ def test_op6_pieces_are_whole_and_gapless(odd, hf):
     assert packing.pack(odd.limit(0)).collect() == []
 
 
+def test_texts_are_encoded_in_long_spans(monkeypatch, tik, hf):
+    """A call for each new word cost op6 twice the time. Where a long text is cut, the ids stay those of the whole."""
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return tik.encode_ordinary(text)
+
+    monkeypatch.setattr(packing, "rust", lambda path: Counted())
+    ids = packing.Ids(RANKS)
+    text = " ".join(f"w{i}" for i in range(5000)) + ".\n"
+    assert ids.of(text) == packed(hf(text)) and calls == [text]
+    long = text * 20
+    calls.clear()
+    assert ids.of(long) == packed(tik.encode_ordinary(long)) and 2 < len(calls) <= len(long) // 60_000 and "".join(calls) == long
+    assert ids.of("") == b"" and ids.of("a<|endoftext|><|endoftext|>") == packed(hf("a<|endoftext|><|endoftext|>"))
+
+
+@pytest.mark.parametrize("size", [0, 1, 4])
+def test_spans_are_cut_where_no_match_crosses(tik, size):
+    for text in made(10, 3000):
+        parts = list(packing.spans(text, size))
+        assert "".join(parts) == text and [i for p in parts for i in tik.encode_ordinary(p)] == tik.encode_ordinary(text)
+
+
 def _best(items: list[int], c: int) -> int:
     best = [len(items)]
 
