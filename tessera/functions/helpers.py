@@ -74,6 +74,11 @@ def sum(x) -> Expr:  # noqa: A001
     return Agg("sum", _total, (named(x),), typed=True)
 
 
+def wide(x) -> Expr:
+    """A 64-bit integer as a decimal of 20 digits: what it is multiplied with, added up or not, has up to 128 bits."""
+    return row(lambda c: c.cast("decimal(20,0)"), x)
+
+
 mean = _agg("mean", F.avg)
 minimum = min = _agg("minimum", F.min)  # noqa: A001
 maximum = max = _agg("maximum", F.max)  # noqa: A001

@@ -458,6 +458,22 @@ def test_sums_have_128_bits(spark):
     assert rows(t.filter(col("g") > 9).summarize(x=f.sum("x"))) == [(None,)]
 
 
+@pytest.fixture
+def high_keys(spark, tmp_path):
+    """A folder of orders and lineitem whose keys, times the factors of the queries of wide sums, pass 64 bits."""
+    keys = [(k, 1, 1, "A") for k in (3, 461169, 900000, 9000000)]
+    spark.createDataFrame(keys, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(keys, "o_orderkey long, n int, o_custkey long, s string").write.parquet(f"{tmp_path}/orders.parquet")
+    return str(tmp_path)
+
+
+def test_wide_sum_of_products_beyond_64_bits(spark, high_keys):
+    from tessera.plans import catalogue
+
+    got = catalogue.queries()["agg_wide_sum"](spark, high_keys).collect()
+    assert [tuple(r) for r in got] == [("A", str((3 + 461169 + 900000 + 9000000) * 20000000000000), 4)]
+
+
 def test_text_of_numbers(spark):
     values = [0.0, -0.0, 1.0, 0.1, 1e10, 1e-5, 1e-4, 9.5e-5, 1e15, 1e16, 1e22, -2.5e-7, 123456789.125, 5.960464477539063e-08, float("inf"), float("-inf"), 1.7976931348623157e308, 1234567.5, 12345678.0]
     t = make(spark, [(i, x) for i, x in enumerate([*values, float("nan"), None])], "i int, x double")
