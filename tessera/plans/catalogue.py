@@ -334,7 +334,7 @@ def agg_wide_sum(t, s):
 
 @query("SELECT o_orderkey, CAST(sum(o_orderkey * 400000000000000) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS VARCHAR) AS running FROM orders")
 def win_wide_cumsum(t, s):
-    return t("orders").mutate(running=f.as_string(f.cumsum(col("o_orderkey") * 400000000000000)), _by="o_custkey", _order="o_orderkey").select("o_orderkey", "running")
+    return t("orders").mutate(running=f.as_string(f.cumsum(f.wide("o_orderkey") * 400000000000000)), _by="o_custkey", _order="o_orderkey").select("o_orderkey", "running")
 
 
 @query("SELECT l_returnflag, first(l_returnflag) AS a, last(l_returnflag) AS b, any_value(nullif(l_returnflag, 'N')) AS v, mode(l_linestatus) AS m, CAST(count(nullif(l_linenumber, 1)) AS BIGINT) AS k FROM lineitem GROUP BY l_returnflag")

@@ -474,6 +474,13 @@ def test_wide_sum_of_products_beyond_64_bits(spark, high_keys):
     assert [tuple(r) for r in got] == [("A", str((3 + 461169 + 900000 + 9000000) * 20000000000000), 4)]
 
 
+def test_running_sum_of_products_beyond_64_bits(spark, high_keys):
+    from tessera.plans import catalogue
+
+    got = dict(map(tuple, catalogue.queries()["win_wide_cumsum"](spark, high_keys).collect()))
+    assert got == {k: str(s * 400000000000000) for k, s in ((3, 3), (461169, 461172), (900000, 1361172), (9000000, 10361172))}
+
+
 def test_text_of_numbers(spark):
     values = [0.0, -0.0, 1.0, 0.1, 1e10, 1e-5, 1e-4, 9.5e-5, 1e15, 1e16, 1e22, -2.5e-7, 123456789.125, 5.960464477539063e-08, float("inf"), float("-inf"), 1.7976931348623157e308, 1234567.5, 12345678.0]
     t = make(spark, [(i, x) for i, x in enumerate([*values, float("nan"), None])], "i int, x double")
