@@ -294,7 +294,9 @@ def as_integer(x) -> Expr:
 
 
 def as_string(x) -> Expr:
-    """Text of any value. Floating-point numbers are the shortest that read back, as 10000000000.0, 1e-05, 1e+16, inf."""
+    """Text of any value. Floating-point numbers are the shortest that read back, as 10000000000.0, 1e-05, 1e+16, inf;
+    of about one in 20,000 random bit patterns, and some powers of two, the cast's 16th or 17th digit stays that of Java
+    17, which reads back too."""
 
     def build(ctx: Context, c: Column) -> Column:
         if not isinstance(ctx.type(c), (T.DoubleType, T.FloatType)):
@@ -303,15 +305,16 @@ def as_string(x) -> Expr:
         bound = lambda value, f: F.transform(F.array(value), f)[0]
 
         def told(s: Column) -> Column:
-            """The cast may give more digits than the 16 or 17 that tell the number."""
-            size, out = F.length(F.regexp_replace(s, "E.*|[^0-9]", "")), F
-            for digits in (16, 17):
-                short = F.format_string(f"%.{digits - 1}e", c.cast("double"))
-                out = out.when((size > digits) & (short.try_cast("double") == c.cast("double")), short)
-            return out.otherwise(s)
+            """The cast may give more digits than tell the number. Two texts of up to 15 digits are never one number but
+            below 2.3e-308, so that fewer than 15 need no trial above it."""
+            x, size = c.cast("double"), F.length(F.regexp_replace(s, "E.*|[^0-9]", ""))
+            start = F.when(F.abs(x) < 2.2250738585072014e-308, 1).otherwise(15)
+            tried = F.transform(F.sequence(start, F.lit(17)), lambda k: F.call_function("format_string", F.concat(F.lit("%."), k - 1, F.lit("e")), x))
+            short = F.get(F.filter(tried, lambda t: t.try_cast("double") == x), F.lit(0))
+            return F.when((x != 0) & ((size > 15) | (start == 1)), F.coalesce(short, s)).otherwise(s)
 
         def shown(s: Column) -> Column:
-            whole, fraction, power = (F.regexp_extract(s, r"^-?(\d+)\.(\d+?)0*(?:[eE]([+-]?\d+))?$", i) for i in (1, 2, 3))
+            whole, fraction, power = (F.regexp_extract(s, r"^-?(\d+)(?:\.(\d+?)0*)?(?:[eE]([+-]?\d+))?$", i) for i in (1, 2, 3))
             parts = F.struct(F.when(s.startswith("-"), "-").otherwise("").alias("sign"), whole.alias("w"), F.when(fraction == "0", "").otherwise(fraction).alias("f"), power.try_cast("int").alias("e"))
             return F.when(s.rlike("[eE]"), bound(parts, spelled)).otherwise(s)
 

@@ -489,6 +489,12 @@ def test_text_of_numbers(spark):
     assert rows(make(spark, [(True, 5)], "b boolean, n int").transmute(b=f.as_string("b"), n=f.as_string("n"))) == [("true", "5")]
 
 
+def test_text_of_numbers_that_the_cast_makes_too_long(spark):
+    values = [47228 * 1e17, 47236 * 1e17, 58536224 * 1e14, 9.92274043e18, -47228 * 1e17, 5e-324, 8e-323, 2e23, 1234567.0]
+    t = make(spark, list(enumerate(values)), "i int, x double")
+    assert [s for _, s in sorted(rows(t.transmute(i="i", s=f.as_string("x"))))] == list(map(repr, values))
+
+
 def test_group_by_all_asks_for_aggregates(spark, doc):
     want = [("aa", 15), ("bb", 15)]
     for total in (f.sum("value"), f.sql("sum(value)"), f.sql("15 + sum(value) - 15"), F.sum("value")):
