@@ -23,6 +23,7 @@ class Context:
     kind: str = "row"
     window: Callable[..., WindowSpec] | None = None
     scopes: dict[str, dict[str, str]] = field(default_factory=dict)
+    held: dict[int, Column] = field(default_factory=dict)  # aggregates (by id) that stand as columns already
 
     def name(self, name: str) -> str:
         """The current name of a column that may be qualified by a table."""
@@ -223,8 +224,11 @@ class Agg(Expr):
     build: Callable[..., Column]
     args: Sequence[Expr] = ()
     typed: bool = False  # build also takes the arguments' types, after `over`
+    level: float | None = None  # of a continuous quantile of one argument
 
     def column(self, ctx: Context) -> Column:
+        if id(self) in ctx.held:
+            return ctx.held[id(self)]
         if ctx.kind == "row":
             raise ValueError(f"{self.label} is an aggregate; use it in summarize, mutate or transmute")
         over = (lambda c: c) if ctx.kind == "summarize" else (lambda c: c.over(ctx.window()))

@@ -84,7 +84,6 @@ minimum = min = _agg("minimum", F.min)  # noqa: A001
 maximum = max = _agg("maximum", F.max)  # noqa: A001
 std = _agg("std", F.stddev_samp)
 count = _agg("count", F.count)
-median = _agg("median", F.median)
 var_samp = _agg("var_samp", F.var_samp)
 var_pop = _agg("var_pop", F.var_pop)
 stddev_pop = _agg("stddev_pop", F.stddev_pop)
@@ -116,9 +115,13 @@ regr_count, regr_avgx, regr_avgy = _two("regr_count", F.regr_count), _two("regr_
 max_by, min_by = _two("max_by", F.max_by), _two("min_by", F.min_by)
 
 
+def median(x) -> Expr:
+    return Agg("median", lambda over, c: over(F.median(c)), (named(x),), level=0.5)
+
+
 def quantile(x, q: float) -> Expr:
     """Continuous quantile."""
-    return Agg("quantile", lambda over, c: over(F.percentile(c, F.lit(q))), (named(x),))
+    return Agg("quantile", lambda over, c: over(F.percentile(c, F.lit(q))), (named(x),), level=q)
 
 
 def approx_quantile(x, q: float, accuracy: int = 10_000) -> Expr:

@@ -6,14 +6,15 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import options
 from .functions import helpers
-from .functions.expr import Col, Context, Expr, aggregates, keys, mentions, parts, quoted, stated
-from .operators import joins, reshape, windows
+from .functions.expr import Agg, Col, Context, Expr, aggregates, keys, mentions, parts, quoted, stated
+from .operators import joins, quantiles, reshape, windows
 from .operators.selectors import Across, resolve
 
 
@@ -247,27 +248,71 @@ class Tbl:
             df = self.df.groupBy(*by).agg(*made) if made else self.df.select(*by).distinct()
             return self._next("summarize", df.select(*map(_q, exprs)), groups=())
         groups = self._by(_by)
-        apart = {k for k, e in exprs.items() if any(vars(x).get("label") == "n_distinct" for x in parts(stated(e)))}
-        if not exprs:
-            df = self.df.select(*map(_q, groups)).distinct()
-        elif apart and any(vars(x).get("label") in LARGE for k, e in exprs.items() if k not in apart for x in parts(stated(e))):
-            df = self._apart(exprs, groups, apart, ctx)
+        if exprs:
+            df = self._aggregated({k: stated(e) for k, e in exprs.items()}, groups)
         else:
-            df = self.df.groupBy(*map(_q, groups)).agg(*[stated(e).column(ctx).alias(k) for k, e in exprs.items()])
+            df = self.df.select(*map(_q, groups)).distinct()
         return self._next("summarize", df, groups=(), worder=(), wframe=None)
 
     summarise = summarize
 
-    def _apart(self, exprs: dict, groups: tuple[str, ...], apart: set[str], ctx: Context) -> DataFrame:
-        """Counts of distinct values by themselves, joined to the other aggregates: in one aggregation the large states
-        of the others would be kept, and shuffled, once for each distinct value."""
-        own = {k: stated(e).column(ctx).alias(k) for k, e in exprs.items()}
-        rest = self.df.groupBy(*map(_q, groups)).agg(*[c for k, c in own.items() if k not in apart])
-        counts = self.df.groupBy(*[_q(g).alias(f"__g{i}") for i, g in enumerate(groups)]).agg(*[own[k] for k in apart])
-        if not groups:
-            return rest.crossJoin(counts).select(*map(_q, exprs))  # one row each
-        on = [_q(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(groups)]
-        return rest.join(counts, on).select(*map(_q, [*groups, *exprs]))
+    def _aggregated(self, exprs: dict[str, Expr], groups: tuple[str, ...]) -> DataFrame:
+        """The groups' aggregates. Quantiles stand apart, as their states hold all values of a group; so do counts of
+        distinct values beside large states, which would be kept, and shuffled, once for each distinct value. They are
+        joined to the other aggregates by the group."""
+        ctx = self._ctx("summarize")
+        whole = {k: e.column(ctx) for k, e in exprs.items()}
+        nodes = {k: [x for x in parts(e) if isinstance(x, Agg)] for k, e in exprs.items()}
+        labels = {x.label for own in nodes.values() for x in own}
+        apart = "n_distinct" in labels and bool(labels & LARGE)
+        row = self._ctx()
+        values = {id(x): x.args[0].column(row) for own in nodes.values() for x in own if x.level is not None}
+        values = {i: c for i, c in values.items() if isinstance(row.type(c), T.NumericType)}
+        lone = {k for k, own in nodes.items() if any(id(x) in values or (apart and x.label == "n_distinct") for x in own)}
+        if not lone:
+            return self.df.groupBy(*map(_q, groups)).agg(*[c.alias(k) for k, c in whole.items()])
+        by, left = [_q(g) for g in groups], [F.col(f"__a{i}") for i in range(len(groups))]
+        held: dict[int, Column] = {}
+        rest, counts, levels = [F.count(F.lit(1)).alias("__n")], [], {}
+        for k in exprs:
+            own = {id(x): x for x in nodes[k]}
+            if k in lone and self._parts_stand_apart(exprs[k], own, groups):
+                for i, x in own.items():
+                    if i in held:
+                        continue
+                    name = f"__x{len(held)}"
+                    held[i] = F.col(name)
+                    if i in values:
+                        key = x.args[0].path if isinstance(x.args[0], Col) else i
+                        levels.setdefault(key, (values[i], {}))[1][name] = x.level
+                    else:
+                        (counts if apart and x.label == "n_distinct" else rest).append(x.column(ctx).alias(name))
+            else:
+                name = f"__w{len(rest)}_{len(counts)}"
+                (counts if k in lone and apart and any(x.label == "n_distinct" for x in nodes[k]) else rest).append(whole[k].alias(name))
+                held[id(exprs[k])] = F.col(name)
+        df = self.df.groupBy(*[c.alias(f"__a{i}") for i, c in enumerate(by)]).agg(*rest)
+        others = [self.df.groupBy(*[c.alias(f"__g{i}") for i, c in enumerate(by)]).agg(*counts)] if counts else []
+        others += [quantiles.quantiles(self.df, by, c, names) for c, names in levels.values()]
+        for other in others:
+            on = [c.eqNullSafe(F.col(f"__g{i}")) for i, c in enumerate(left)]
+            df = df.join(other, on or F.lit(True), "left").drop(*[f"__g{i}" for i in range(len(by))])
+        df = df.select(*[c.alias(g) for c, g in zip(left, groups)], *[c for c in df.columns if not c.startswith("__a")])
+        last = Context(df, "summarize", None, self.scopes, held)
+        return df.select(*map(_q, groups), *[(held[id(e)] if id(e) in held else e.column(last)).alias(k) for k, e in exprs.items()])
+
+    def _parts_stand_apart(self, e: Expr, own: dict[int, Agg], groups: tuple[str, ...]) -> bool:
+        """Whether the expression can be made of the columns that its aggregates become; one with aggregates in SQL text
+        or by a function's name cannot."""
+        ctx = self._ctx("summarize")
+        kinds = self.df.agg(*[x.column(ctx).alias(f"__x{n}") for n, x in enumerate(own.values())]).schema
+        shell = self.df.select(*map(_q, groups), *[F.lit(None).cast(f.dataType).alias(f.name) for f in kinds])
+        held = {i: F.col(f"__x{n}") for n, i in enumerate(own)}
+        try:
+            plan = shell.select(e.column(Context(shell, "summarize", None, self.scopes, held)).alias("__e"))._jdf.queryExecution().analyzed()
+        except AnalysisException:
+            return False
+        return plan.getClass().getSimpleName() != "Aggregate"
 
     def grouping_sets(self, sets, **named) -> Tbl:
         """Aggregates for each of several lists of columns, in one table; columns that a set lacks are null in its rows."""

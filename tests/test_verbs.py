@@ -510,6 +510,26 @@ def test_distinct_counts_stand_apart_from_large_states(spark):
     assert "Expand" not in t.summarize(m=f.median("x"), k=f.n_distinct("k"), _by="g").df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_quantiles_are_those_of_percentile(spark):
+    r = random.Random(5)
+    data = [(None, float("nan"), 1)] + [(r.choice([None, 0, 1, 2]), r.choice([None, r.random(), r.randint(-3, 3) * 1.0]), r.randint(-(1 << 60), 1 << 60)) for _ in range(3000)]
+    t = make(spark, [*data, (7, None, 3), (8, 2.5, 4)], "g int, x double, k long")
+    own = t.summarize(a=f.median("x"), b=f.quantile("x", 0.9), c=f.quantile("k", 0.013), d=f.quantile(col("k") / 3, 1), e=f.median("x") - f.mean("x") + f.n(), n=f.n_distinct("x"), _by="g")
+    want = t.df.groupBy("g").agg(F.median("x"), F.percentile("x", F.lit(0.9)), F.percentile("k", F.lit(0.013)), F.percentile(F.col("k") / 3, F.lit(1.0)), F.median("x") - F.avg("x") + F.count(F.lit(1)), F.count_distinct("x"))
+    near = lambda got: sorted([tuple("nan" if x != x else f"{x:.12g}" if isinstance(x, float) else x for x in r) for r in got], key=repr)
+    assert near(rows(own)) == near(map(tuple, want.collect()))
+    assert near(rows(t.summarize(m=f.median("k"), q=f.quantile("x", 0.25)))) == near(map(tuple, t.df.agg(F.median("k"), F.percentile("x", F.lit(0.25))).collect()))
+    assert rows(t.filter("g > 9").summarize(m=f.median("k"), n=f.n())) == [(None, 0)] and rows(t.filter("g > 9").summarize(m=f.median("k"), _by="g")) == []
+    assert srows(t.filter("g > 2").summarize(m=f.sql("median(x)") + f.median("x") + f.fn("max", "k"), _by="g")) == [(7, None), (8, 9.0)]
+
+
+def test_no_aggregate_holds_all_values_of_a_group(spark):
+    t = make(spark, [(1, 2.0)], "g int, x double")
+    for made in (t.summarize(m=f.median("x"), _by="g"), t.summarize(m=f.quantile("x", 0.2) + f.n_distinct("x")), t.summarize(m=f.median("x"), k=f.n_distinct("x"), s=f.std("x"))):
+        plan = made.df._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"percentile\(|median\(", plan)
+
+
 def test_grouping_sets(spark):
     t = make(spark, [("a", 1), ("a", 2), ("b", 1)], "x string, y int")
     assert srows(t.grouping_sets([["x"], ["y"], []], n=f.n())) == sorted([("a", None, 2), ("b", None, 1), (None, 1, 2), (None, 2, 1), (None, None, 3)], key=repr)
