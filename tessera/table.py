@@ -18,8 +18,8 @@ from .operators import joins, quantiles, reshape, windows
 from .operators.selectors import Across, resolve
 
 
-#: Aggregates whose states grow with the values that they have seen.
-LARGE = {"median", "quantile", "approx_quantile", "mode", "collect_list", "string_agg"}
+#: Aggregates whose states are large, or grow with the values that they have seen.
+LARGE = {"approx_distinct", "median", "quantile", "approx_quantile", "mode", "collect_list", "string_agg"}
 
 
 def _q(name: str) -> Column:

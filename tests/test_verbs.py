@@ -530,6 +530,15 @@ def test_no_aggregate_holds_all_values_of_a_group(spark):
         assert not re.search(r"percentile\(|median\(", plan)
 
 
+def test_sketches_stand_apart_from_distinct_counts(spark):
+    t = make(spark, [(g, k % 50) for g in (1, 2) for k in range(100)], "g int, k int")
+    for by in ("g", None):
+        made = t.summarize(share=f.approx_distinct("k") / f.n_distinct("k"), n=f.n(), _by=by)
+        assert all(0.8 < r.share < 1.2 and r.n in (100, 200) for r in made.df.collect())
+        plan = made.df._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "approx_count_distinct(" in x and "distinct k" in x] and "distinct k" in plan
+
+
 def test_grouping_sets(spark):
     t = make(spark, [("a", 1), ("a", 2), ("b", 1)], "x string, y int")
     assert srows(t.grouping_sets([["x"], ["y"], []], n=f.n())) == sorted([("a", None, 2), ("b", None, 1), (None, 1, 2), (None, 2, 1), (None, None, 3)], key=repr)
