@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Codes read at a time, which is more than fill the table.
 SEGMENT = 8192
+#: Codes after a clear code from which arrays expand them faster than a loop.
+MANY = 150
 #: Columns of a payload's frames, and the most rows in one.
 WIDTH = 64
 HEIGHT = 8192
@@ -29,62 +31,51 @@ MOST_PIXELS = 1 << 26
 GREYS = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
 
-def lzw_codes(data: bytes, bits: int = 8) -> tuple[list[int], list[int]]:
+def lzw_codes(data: bytes, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """The variable-width code stream of the samples: codes, and for each its width."""
     clear = 1 << bits
-    codes, widths = [clear], [bits + 1]
-    table: dict[int, int] = {}
-    get, put, wide = table.get, codes.append, widths.extend
-    free, at = clear + 2, None  # free: the next table entry
-    counted = 1  # codes whose width is known
-    width, limit = bits + 1, 1 << (bits + 1)
-    for c in data:
-        if at is None:
-            at = c
-            continue
-        key = at << 8 | c
-        known = get(key)
-        if known is not None:
-            at = known
+    # codes stand eight bits up, so that the table's keys need no shift
+    first, full = (clear + 2) << 8, 4096 << 8
+    out = [clear << 8]
+    put, table, free, at = out.append, {}, first, -1
+    samples = iter(data)
+    for c in samples:
+        at = c << 8
+        break
+    for c in samples:
+        key = at | c
+        if key in table:
+            at = table[key]
             continue
         put(at)
-        at = c
-        if free < 4096:
+        at = c << 8
+        if free < full:
             table[key] = free
-            if free == limit:  # that entry needs one more bit from the next code on
-                wide([width] * (len(codes) - counted))
-                counted = len(codes)
-                width, limit = width + 1, limit << 1
-            free += 1
+            free += 256
         else:
-            put(clear)
-            wide([width] * (len(codes) - counted))
-            counted = len(codes)
-            table.clear()
-            free, width, limit = clear + 2, bits + 1, 1 << (bits + 1)
-    if at is not None:
+            put(clear << 8)
+            table = {}
+            free = first
+    if at >= 0:
         put(at)
-        wide([width] * (len(codes) - counted))
-        counted = len(codes)
-        if free == limit and free < 4096:
-            width += 1
-    put(clear + 1)
-    widths.append(width)
-    return codes, widths
+    put((clear + 1) << 8)
+    codes = np.array(out, np.int64) >> 8
+    clears = np.flatnonzero(codes == clear)
+    places = np.diff(np.append(clears, len(codes) - 1))  # a clear code counts to the codes before it
+    widths = [np.array([bits + 1]), *(_widths(bits)[0][:k] for k in places)]
+    return codes, np.concatenate(widths)
 
 
-def pack_bits(codes: list[int], widths: list[int]) -> bytes:
+def pack_bits(codes, widths) -> bytes:
     """Codes in little-endian bit order."""
-    c, w = np.array(codes, np.int64), np.array(widths, np.int64)
-    start = np.cumsum(w) - w
-    out = np.zeros(int(start[-1] + w[-1] + 7) // 8 + 3, np.uint8)
-    shifted = c << (start & 7)
-    for k in range(3):  # a code of 12 bits touches three bytes at most
-        part = (shifted >> (8 * k) & 255).astype(np.uint8)
-        at = (start >> 3) + k
-        lone = np.flatnonzero(part)
-        np.bitwise_or.at(out, at[lone], part[lone])
-    return out[: int(start[-1] + w[-1] + 7) // 8].tobytes()
+    c, w = np.asarray(codes, np.int64), np.asarray(widths, np.int64)
+    end = np.cumsum(w)
+    start = end - w
+    at, shifted = start >> 3, c << (start & 7)
+    size = int(end[-1] + 7) // 8
+    # a code of 12 bits touches three bytes at most; no two codes share a bit, so bytes are sums, exact in doubles
+    parts = [np.bincount(at + k, shifted >> (8 * k) & 255, size + 3)[: size + 3] for k in range(3)]
+    return (parts[0] + parts[1] + parts[2])[:size].astype(np.uint8).tobytes()
 
 
 @lru_cache(16)
@@ -96,11 +87,40 @@ def _widths(bits: int) -> tuple[np.ndarray, np.ndarray]:
     return widths, np.cumsum(widths) - widths
 
 
+@lru_cache(16)
+def _roots(clear: int) -> list[bytes]:
+    return [bytes((i,)) for i in range(clear)] + [b"", b""]
+
+
+def _expanded(codes: np.ndarray, clear: int) -> bytes:
+    """The samples of the codes from a clear code on. The entry made at a code is the string of the code before it and
+    one sample more, so each string's rest is that of an earlier code; strings are written from their ends, all of them
+    a sample at a time."""
+    here = np.arange(len(codes))
+    root = codes < clear
+    rest = np.where(root, -1, codes - clear - 2)
+    if (rest >= here).any():
+        raise ValueError("a code stands before its table entry")
+    up, steps = np.where(root, here, rest), (~root).astype(np.int64)
+    while (more := steps[up]).any():
+        steps += more
+        up = up[up]
+    tail = np.where(root, codes, codes[up][rest + 1]).astype(np.uint8)
+    ends = np.cumsum(steps + 1)
+    out, at, node = np.empty(int(ends[-1]), np.uint8), ends - 1, here
+    while len(node):
+        out[at] = tail[node]
+        node = rest[node]
+        kept = np.flatnonzero(node >= 0)
+        node, at = node[kept], at[kept] - 1
+    return out.tobytes()
+
+
 def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
     """The samples of a code stream, at most so many. The stream may end without its end code."""
     clear, size, counted, at, end = 1 << bits, 0, 0, 0, 8 * len(data)
     raw = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
-    roots = [bytes((i,)) for i in range(clear)] + [b"", b""]
+    roots = _roots(clear)
     widths, before = _widths(bits)
     out: list[bytes] = []
     table, grows, fresh = list(roots), 4096 - len(roots), True
@@ -117,7 +137,12 @@ def lzw_decode(data: bytes, bits: int, most: int) -> bytes:
         marks = np.flatnonzero((codes == clear) | (codes == clear + 1))
         stop = int(marks[0]) if len(marks) else whole
         mark = int(codes[stop]) if len(marks) else -1
-        own = codes[:stop].tolist()
+        own = codes[:stop]
+        if fresh and stop >= MANY and (len(marks) or whole < SEGMENT):  # no code after these reads the table
+            out.append(_expanded(own, clear))
+            own = ()
+        else:
+            own = own.tolist()
         if fresh and own:
             if own[0] >= clear:
                 raise ValueError("a code stands before its table entry")
@@ -178,9 +203,8 @@ class Frame:
     def histogram(self) -> list[int]:
         """Pixels of the canvas by colour: two bits each of red, green and blue; transparent pixels do not count."""
         pixels = self.canvas.reshape(-1, 4)
-        seen = pixels[pixels[:, 3] > 0]
-        bins = (seen[:, 0] >> 6).astype(np.int64) << 4 | (seen[:, 1] >> 6) << 2 | seen[:, 2] >> 6
-        return np.bincount(bins, minlength=64).tolist()
+        bins = pixels[:, 0] >> 6 << 4 | pixels[:, 1] >> 6 << 2 | pixels[:, 2] >> 6
+        return np.bincount(bins[pixels[:, 3] > 0], minlength=64).tolist()
 
 
 def encode(images: list[Image], width: int, height: int, palette: np.ndarray = GREYS, bits: int = 8) -> bytes:
@@ -258,7 +282,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         view = canvas[top : top + rows, left : left + columns]
         own = samples[: view.shape[0], : view.shape[1]]
-        drawn = np.dstack([palette[np.minimum(own, len(palette) - 1)], np.full(own.shape, 255, np.uint8)])
+        opaque = np.column_stack([palette, np.full(len(palette), 255, np.uint8)])
+        drawn = opaque[own if len(palette) == 256 else np.minimum(own, len(palette) - 1)]
         view[...] = drawn if transparent is None else np.where((own == transparent)[..., None], view, drawn)
         yield Frame(number, start, delay, canvas.copy(), samples)
         if disposal == 2:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -49,6 +50,43 @@ def test_stream_with_a_full_table_and_no_clear_code():
     assert gif.lzw_decode(data, 8, 10**9) == plain_decode(data, 8)
 
 
+def test_long_streams_are_decoded_without_a_step_for_each_code():
+    r = random.Random(9)
+    words = [bytes(r.randrange(97, 123) for _ in range(r.randint(2, 9))) for _ in range(400)]
+    data = b" ".join(r.choice(words) for _ in range(8000))
+    codes, widths = gif.lzw_codes(data)
+    packed, lines = gif.pack_bits(codes, widths), 0
+
+    def trace(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        got = gif.lzw_decode(packed, 8, len(data))
+    finally:
+        sys.settrace(before)
+    assert got == data == plain_decode(packed, 8) and lines < len(codes)
+
+
+@pytest.mark.parametrize("data", [b"a" * 9000, b"ab" * 9000, bytes(range(256)) * 90, b"a" * 300 + bytes(range(256)) * 40])
+def test_long_streams_of_runs(data):
+    packed = gif.pack_bits(*gif.lzw_codes(data))
+    assert gif.lzw_decode(packed, 8, len(data)) == data == plain_decode(packed, 8)
+    assert gif.lzw_decode(packed[: len(packed) // 2], 8, len(data)) == plain_decode(packed[: len(packed) // 2], 8)
+
+
+def test_long_streams_with_a_code_before_its_entry():
+    for at in (0, 1, 5, 200, 299):
+        codes = [256] + [97] * 300
+        codes[1 + at] = 258 + at  # one beyond the entry that is made there
+        widths = [9] * 256 + [10] * 45
+        with pytest.raises(ValueError):
+            gif.lzw_decode(gif.pack_bits(codes, widths), 8, 10**6)
+
+
 def test_frames_are_composed_by_disposal_and_transparency(spark):
     palette = np.array([[0, 0, 0], [255, 0, 0], [0, 255, 0], [0, 0, 255]], np.uint8)
     full = lambda c, rows=2, cols=3: np.full((rows, cols), c, np.uint8)
