@@ -282,8 +282,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         before = canvas.copy() if disposal == 3 else None
         view = canvas[top : top + rows, left : left + columns]
         own = samples[: view.shape[0], : view.shape[1]]
-        opaque = np.column_stack([palette, np.full(len(palette), 255, np.uint8)])
-        drawn = opaque[own if len(palette) == 256 else np.minimum(own, len(palette) - 1)]
+        opaque = np.column_stack([palette, np.full(len(palette), 255, np.uint8)]).view(np.uint32)[:, 0]  # a colour is one number
+        drawn = opaque[own if len(palette) == 256 else np.minimum(own, len(palette) - 1)].view(np.uint8).reshape(*own.shape, 4)
         view[...] = drawn if transparent is None else np.where((own == transparent)[..., None], view, drawn)
         yield Frame(number, start, delay, canvas.copy(), samples)
         if disposal == 2:
